@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows in one Arrow batch: documents may be long, so batches stay small.
 ARROW_ROWS = 256
@@ -59,3 +63,23 @@ def one_space(text: Column) -> Column:
     for char in "\t\n\x0b\x0c\r":
         flat = F.replace(flat, F.lit(char), F.lit(" "))
     return F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " {2,}", " ")).otherwise(flat)
+
+
+def per_text(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[list, list], Iterable[tuple]]], schema: str) -> DataFrame:
+    """Rows that a Python function makes of Arrow batches of (ids, whole texts).
+
+    ``make`` runs once a task and returns the function of a batch, which takes the ids (which may
+    be null) and the texts as lists and yields rows in the order of ``schema``.
+    """
+    small_batches(docs.sparkSession)
+    shape = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for batch in batches:
+            columns = list(zip(*of(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
+            if columns:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape)], schema=shape)
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, schema)

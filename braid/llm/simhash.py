@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import per_text, settle
 from .components import connected_components
 
 RADIUS, SHINGLE, SEED, BITS = 2, 3, 42, 64
@@ -58,17 +58,13 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        fp = np.fromiter(map(fingerprint, batch["text"]), np.uint64, len(batch))
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp.view(np.int64)})
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) for each row."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(_fingerprints, "doc_id bigint, fp bigint")
+
+    def of(ids: list, texts: list) -> Iterator[tuple]:
+        return zip(ids, (_signed(fingerprint(t)) for t in texts))
+
+    return per_text(docs, id_col, text_col, lambda: of, "doc_id bigint, fp bigint")
 
 
 class BKTree:

@@ -1,19 +1,85 @@
-"""Corpus pipeline: stages applied in order, each on all rows that its predecessor kept."""
+"""Corpus pipeline: stages applied in order, each on all rows that its predecessor kept.
+
+Each stage is written as Parquet under ``spark.checkpoint.dir`` and read again as the next
+one's documents. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from braid.llm import decontam, exact, packing, quality, simhash
+from braid.llm.common import one_space, settle, table
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is not among ``ids``; a row without an id stays."""
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject. Rows without an id stay."""
+    return _without(docs, quality.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 0"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the smallest id; of repeated rows of it, one.
+
+    Rows without an id stay: no decision can name them.
+    """
+    found = settle(exact.dedup_exact(docs), "exact")
+    left = _without(docs, found.where("doc_id <> keep_id"))
+    again = found.where("doc_id = keep_id AND NOT kept").select("doc_id").distinct()
+    if again.isEmpty():
+        return left
+    same = left.join(again, "doc_id", "left_semi").select(docs.columns).withColumn("__same", one_space(F.col("text")))
+    return _without(left, again).unionByName(same.dropDuplicates(["doc_id", "__same"]).drop("__same"))
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies, the document with the smallest id.
 
+    Rows that share an id stay or go together; rows without an id stay.
+    """
+    return _without(docs, simhash.near_duplicates(docs).where("doc_id <> component_id"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item. Rows without an id stay."""
+    return _without(docs, decontam.leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that are left, with their places in the sequences."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality_filter),
+    ("exact dedup", exact_dedup),
+    ("SimHash near-dedup", simhash_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: The classifier, the fingerprints, the edit matching and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
