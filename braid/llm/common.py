@@ -7,6 +7,7 @@ setting is absent (tests on one machine).
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -69,16 +70,17 @@ def per_text(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Cal
     """Rows that a Python function makes of Arrow batches of (ids, whole texts).
 
     ``make`` runs once a task and returns the function of a batch, which takes the ids (which may
-    be null) and the texts as lists and yields rows in the order of ``schema``.
+    be null) and the texts as lists and yields rows in the order of ``schema``. If it has an
+    attribute ``finish``, that is called after the last batch for the rows that are left.
     """
     small_batches(docs.sparkSession)
     shape = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
-        for batch in batches:
-            columns = list(zip(*of(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
-            if columns:
+        batched = (of(b.column(0).to_pylist(), b.column(1).to_pylist()) for b in batches)
+        for rows in itertools.chain(batched, (f() for f in [getattr(of, "finish", None)] if f)):
+            if columns := list(zip(*rows)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape)], schema=shape)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, packing, quality, simhash
+from . import decontam, exact, packing, quality, simhash, sstable
 from .common import table
 
 
@@ -26,11 +26,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup_exact(table(spark, sf_dir, "documents"))
 
 
+def op5_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_quality, op2_decontamination, op6_simhash, op8_packing, op9_exact_dedup)
+OPERATORS = (op1_quality, op2_decontamination, op5_sorted_tables, op6_simhash, op8_packing, op9_exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
