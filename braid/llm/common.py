@@ -85,3 +85,30 @@ def per_text(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Cal
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, schema)
+
+
+#: Bits of a map of values that goes to all tasks: 2^17 words of 64 bits, whatever the input.
+HIT_BITS = 1 << 23
+
+
+def _slot(value: str) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(HIT_BITS))
+
+
+def _bit(value: str) -> Column:
+    return F.expr(f"shiftleft(1L, cast(pmod(xxhash64({value}), {HIT_BITS}L) & 63 as int))")
+
+
+def hit_bits(values: DataFrame, value: str) -> DataFrame:
+    """A bitmap of fixed size, as rows (word, bits), that has the bit of every value set."""
+    return values.groupBy(F.shiftright(_slot(value), 6).alias("word")).agg(F.bit_or(_bit(value)).alias("bits"))
+
+
+def with_hits(rows: DataFrame, value: str, bits: DataFrame) -> DataFrame:
+    """Rows whose value may be in the bitmap: all that are, and few others.
+
+    Only this bounded table is broadcast. A full bitmap lets everything pass, which costs a
+    larger shuffle afterwards and changes no result.
+    """
+    tested = rows.withColumn("word", F.shiftright(_slot(value), 6)).join(F.broadcast(bits), "word")
+    return tested.where(F.col("bits").bitwiseAND(_bit(value)) != 0).drop("word", "bits")

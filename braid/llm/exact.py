@@ -20,10 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import one_space, scratch_path, settle
-
-#: Bits of the map of hits that goes to all tasks: 2^17 words of 64 bits, whatever the input.
-HIT_BITS = 1 << 23
+from .common import hit_bits, one_space, scratch_path, settle, with_hits
 
 RUN_SCHEMA = "digest binary, id_null boolean, id bigint, tag bigint, n bigint"
 
@@ -32,10 +29,6 @@ def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def _hit_slot(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(HIT_BITS))
-
-
 class DigestIndex:
     """Runs of digests in the shared folder; ``levels[k]`` lists the runs of level k."""
 
@@ -84,19 +77,8 @@ def merge(rows: DataFrame, *keys: Column) -> DataFrame:
 
 def collisions(docs: DataFrame, compacted: DataFrame, digest: Callable[[Column], Column], text_col: str) -> DataFrame:
     """Digests that stand for more than one text, found on the bytes of all hits."""
-    slot = _hit_slot(F.col("digest"))
-    bitmap = (
-        compacted.where("n > 1")
-        .groupBy(F.shiftright(slot, 6).alias("word"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(digest), {HIT_BITS}L) & 63 as int))")).alias("bits"))
-    )
     texts = docs.select(one_space(F.col(text_col)).alias("text")).withColumn("digest", digest(F.col("text")))
-    hits = (
-        texts.withColumn("word", F.shiftright(slot, 6))
-        .withColumn("bit", F.expr(f"shiftleft(1L, cast(pmod(xxhash64(digest), {HIT_BITS}L) & 63 as int))"))
-        .join(F.broadcast(bitmap), "word")
-        .where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
-    )
+    hits = with_hits(texts, "digest", hit_bits(compacted.where("n > 1"), "digest"))
     return hits.groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select("digest")
 
 
