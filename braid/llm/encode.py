@@ -20,8 +20,8 @@ import numpy as np
 TOKENIZER_FILE = "word_bpe_49k.json"
 #: The id that ends each document.
 END = 1
-#: Ids of remembered words, at most, before the memory starts again.
-MEMORY = 4_000_000
+#: Remembered words, their ids and punctuation, at most, before the memory starts again.
+MEMORY, MEMORY_IDS, TAILS = 700_000, 4_000_000, 10_000
 
 #: Letters whose lower case and normal form are one character each, then punctuation that no letter joins.
 _PARTS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!#$%&()*+,./:;=?@\[\\\]^_`{|}~\"-]*)")
@@ -58,7 +58,7 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.parts: dict[bytes, list[int]] = {}
+        self.tails: dict[bytes, list[int]] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
@@ -70,11 +70,11 @@ class WordEncoder:
 
     def _ids_of_part(self, part: bytes) -> list[int]:
         """Ids of one pre-token in lower case, straight from the library's model."""
-        ids = self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(part.decode("latin-1").translate(_BYTE_SIGNS))]
-        return ids
+        signs = part.decode() if part.isascii() else part.decode("latin-1").translate(_BYTE_SIGNS)
+        return [t.id for t in self.tokenizer.model.tokenize(signs)]
 
     def _learn(self, words: list[bytes]) -> None:
-        parts, of, rows, odd = self.parts, self._ids_of_part, [], []
+        known, rows, odd = self.known, [], []
         for w in words:
             m = _PARTS.fullmatch(w)
             if m is None:
@@ -82,9 +82,18 @@ class WordEncoder:
                 rows.append([])
                 continue
             a, b = m.groups()
-            a = a.lower() if a.isascii() else a.decode().lower().encode()
-            ids = parts.get(a) or of(a)
-            rows.append(ids + (parts.get(b) or of(b)) if b else ids)
+            at = known.get(a) if b else None
+            if at is None:
+                ids = self._ids_of_part(a.lower() if a.isascii() else a.decode().lower().encode())
+            else:
+                ids = self.ids[self.starts[at] : self.starts[at] + self.sizes[at]].tolist()
+            if b:
+                if b not in self.tails:
+                    if len(self.tails) > TAILS:
+                        self.tails.clear()
+                    self.tails[b] = self._ids_of_part(b)
+                ids = ids + self.tails[b]
+            rows.append(ids)
         for i, ids in zip(odd, self._ask([words[i] for i in odd]) if odd else []):
             rows[i] = ids
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
@@ -98,14 +107,13 @@ class WordEncoder:
 
     def word_rows(self, words: list[bytes]) -> np.ndarray:
         """A number for each word, to look up in ``starts`` and ``sizes``."""
-        rows = list(map(self.known.get, words))
-        if None in rows:
-            if self.n_ids > MEMORY:
+        new = set(words).difference(self.known)
+        if new:
+            if self.n_words > MEMORY or self.n_ids > MEMORY_IDS:
                 self._forget()
-                rows = [None] * len(words)
-            self._learn(list({w for w, r in zip(words, rows) if r is None}))
-            rows = list(map(self.known.__getitem__, words))
-        return np.array(rows, np.int64)
+                new = set(words)
+            self._learn(list(new))
+        return np.array(list(map(self.known.__getitem__, words)), np.int64)
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text, as unsigned 32-bit integers."""
