@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, html, packing, passages, quality, simhash, sstable
+from . import decontam, exact, html, lines, packing, passages, quality, simhash, sstable
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_quality, op2_decontamination, op3_substring_dedup, op5_sorted_tables, op6_simhash, op7_html, op8_packing, op9_exact_dedup)
+OPERATORS = (op1_quality, op2_decontamination, op3_substring_dedup, op4_line_dedup, op5_sorted_tables, op6_simhash, op7_html, op8_packing, op9_exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
