@@ -115,6 +115,11 @@ class WordEncoder:
             self._learn(list(new))
         return np.array(list(map(self.known.__getitem__, words)), np.int64)
 
+    def counts(self, words: list[bytes]) -> np.ndarray:
+        """The number of ids of each word."""
+        rows = self.word_rows(words)  # may move the arrays
+        return self.sizes[rows]
+
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text, as unsigned 32-bit integers."""
         words = (text or "").encode("utf-8", "replace").split()

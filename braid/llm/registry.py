@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, html, lines, packing, passages, quality, simhash, sstable
+from . import decontam, exact, html, lines, packing, passages, quality, simhash, sstable, tokens
 from .common import table
 
 
@@ -46,7 +46,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_quality, op2_decontamination, op3_substring_dedup, op4_line_dedup, op5_sorted_tables, op6_simhash, op7_html, op8_packing, op9_exact_dedup)
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.edited_counts(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_quality, op2_decontamination, op3_substring_dedup, op4_line_dedup, op5_sorted_tables, op6_simhash, op7_html, op8_packing, op9_exact_dedup, op10_token_counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
