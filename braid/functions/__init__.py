@@ -1 +1 @@
-
+"""Column functions on vertex sequences."""

@@ -1 +1 @@
-
+"""The link relation over streams of hyperedges."""
