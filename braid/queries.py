@@ -15,7 +15,7 @@ from .operators import adjacency, edit, intersect, materialize, paths, relations
 from .sources import sample
 
 #: Vertices and hyperedges that the point queries ask for.
-PART, PARTS, NATION, TO_NATION, ORDER, ORDERS = 17, [3, 17, 42], 4, 9, 33, [7, 33, 39]
+PART, PARTS, NATION, TO_NATION, ORDER, ORDERS = 17, [3, 17, 42], 4, 16, 19, [5, 6, 17]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -297,7 +297,7 @@ _SQL: dict[Query, str] = {
                 WHERE x.b.d + k.b.cost = y.b.d AND x.b.h + 1 = y.b.h GROUP BY 1, 2),
         back(v, e, h) AS (SELECT v, m.e, h FROM pre WHERE v = {TO_NATION} UNION ALL
                 SELECT pre.v, pre.m.e, pre.h FROM back JOIN pre nxt ON nxt.v = back.v JOIN pre ON pre.v = nxt.m.p)
-        SELECT h AS step, v AS vertex_id, e AS via_hyperedge_id FROM back UNION ALL SELECT 0, {NATION}, NULL""",
+        SELECT h AS step, v AS vertex_id, e AS via_hyperedge_id FROM back UNION ALL SELECT 0, {NATION}, NULL WHERE EXISTS (SELECT 1 FROM back)""",
     weight_violations: "SELECT p_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1",
 }
 
