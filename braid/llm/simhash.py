@@ -130,6 +130,8 @@ def _dealt(nodes: DataFrame, masks: list[int], radius: int) -> DataFrame:
     """fp with each block mask below its present mask, and its bits there."""
     below = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(s)) for s in _split(m, radius)]))])
     rows = nodes.select("fp", F.explode(below[F.col("mask")]).alias("mask"))
+    if masks != [0]:  # the same bits can be fixed in another order
+        rows = rows.distinct()
     return rows.withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
 
 
@@ -145,7 +147,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFra
     nodes = nodes.select("fp", F.lit(0).cast("bigint").alias("mask"))
     while True:
         keys = _dealt(nodes, masks, radius)
-        masks = [s for m in masks for s in _split(m, radius)]
+        masks = sorted({s for m in masks for s in _split(m, radius)})
         sizes = keys.groupBy("mask", "bits").agg(F.count("*").alias("n")).where("n > 1")
         keys = settle(keys.join(sizes, ["mask", "bits"]), "shards")
         cold = keys.where(F.col("n") <= shard).groupBy("mask", "bits").agg(F.collect_list("fp").alias("fps")).select("fps")
