@@ -92,11 +92,12 @@ HIT_BITS = 1 << 23
 
 
 def _slot(value: str) -> Column:
-    return F.pmod(F.xxhash64(value), F.lit(HIT_BITS))
+    # an expression that is never null: a join on it adds no filter that would compute it again
+    return F.xxhash64(value).bitwiseAND(F.lit(HIT_BITS - 1).cast("bigint"))
 
 
 def _bit(value: str) -> Column:
-    return F.expr(f"shiftleft(1L, cast(pmod(xxhash64({value}), {HIT_BITS}L) & 63 as int))")
+    return F.expr(f"shiftleft(1L, cast(xxhash64({value}) & 63L as int))")
 
 
 def hit_bits(values: DataFrame, value: str) -> DataFrame:
