@@ -9,11 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints; a temporary one only where none is."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="braid-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="braid-checkpoints-")
 
 
 def cut(df: DataFrame) -> DataFrame:
