@@ -7,6 +7,7 @@ setting is absent (tests on one machine).
 
 from __future__ import annotations
 
+import functools
 import itertools
 import tempfile
 import uuid
@@ -23,12 +24,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 ARROW_ROWS = 256
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="braid-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    """The folder that driver and executors share; a local one only where none is named."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _local_dir(spark.sparkContext.applicationId)).rstrip("/")
+
+
+@functools.cache
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"braid-{application}-")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
