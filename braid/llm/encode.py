@@ -33,6 +33,9 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
     return public_tokenizers.path(name)
 
 
+#: Such punctuation as ends most words; a shorter way to the same parts.
+_ENDS = b".,:;!?"
+
 #: How a byte-level vocabulary writes bytes: printable ones as themselves, others from 256 on.
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
@@ -54,6 +57,7 @@ class WordEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        self.pieces_of = self.tokenizer.model.tokenize
         self._forget()
 
     def _forget(self) -> None:
@@ -71,17 +75,21 @@ class WordEncoder:
     def _ids_of_part(self, part: bytes) -> list[int]:
         """Ids of one pre-token in lower case, straight from the library's model."""
         signs = part.decode() if part.isascii() else part.decode("latin-1").translate(_BYTE_SIGNS)
-        return [t.id for t in self.tokenizer.model.tokenize(signs)]
+        return [t.id for t in self.pieces_of(signs)]
 
     def _learn(self, words: list[bytes]) -> None:
         known, rows, odd = self.known, [], []
         for w in words:
-            m = _PARTS.fullmatch(w)
-            if m is None:
+            if w.isalpha():
+                a, b = w, b""
+            elif w[-1] in _ENDS and w[:-1].isalpha():
+                a, b = w[:-1], w[-1:]
+            elif (m := _PARTS.fullmatch(w)) is None:
                 odd.append(len(rows))
                 rows.append([])
                 continue
-            a, b = m.groups()
+            else:
+                a, b = m.groups()
             at = known.get(a) if b else None
             if at is None:
                 ids = self._ids_of_part(a.lower() if a.isascii() else a.decode().lower().encode())
