@@ -12,12 +12,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of a node moves to the smallest of the node and its neighbours."""
     both = edges.select("a", "b").union(edges.select("b", "a"))
     least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("m"))
+    least = settle(least, "least")  # as a table, so that AQE can split a hub's join
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours all move to the smallest of these. Rows have a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = settle(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -27,7 +28,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every step is a partial minimum and a join that AQE can split, so a node with a third
     of all edges is no single task. Rounds grow with the logarithm of the longest chain; each
-    ends in a table of the shared folder. Self-links are ignored; no links give no rows.
+    ends in tables of the shared folder. Self-links are ignored; no links give no rows.
     """
     edges = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
@@ -36,4 +37,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == mark or not now["n"]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
         mark = now
-        edges = settle(_small_star(_large_star(edges)), "stars")
+        edges = settle(_small_star(settle(_large_star(edges), "large-stars")), "stars")

@@ -149,6 +149,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFra
         keys = _dealt(nodes, masks, radius)
         masks = sorted({s for m in masks for s in _split(m, radius)})
         sizes = keys.groupBy("mask", "bits").agg(F.count("*").alias("n")).where("n > 1")
+        sizes = settle(sizes, "shard-sizes")  # as a table, so that AQE can split a hot shard's join
         keys = settle(keys.join(sizes, ["mask", "bits"]), "shards")
         cold = keys.where(F.col("n") <= shard).groupBy("mask", "bits").agg(F.collect_list("fp").alias("fps")).select("fps")
         stars = cold.mapInPandas(search, "a bigint, b bigint")
@@ -172,6 +173,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = joined.where("linked")
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(names, "root").select("fp", "component_id").union(joined.where("NOT linked AND n > 1").select("fp", "least"))
+    named = settle(named, "components")  # as a table, so that AQE can split a hot fingerprint's join
     return rows.join(named, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
