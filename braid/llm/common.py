@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +69,12 @@ def one_space(text: Column) -> Column:
     return F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " {2,}", " ")).otherwise(flat)
 
 
+def slices(column: pa.Array) -> Iterator[np.ndarray]:
+    """The lists of an Arrow list column as NumPy views."""
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return (values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist()))
+
+
 def per_text(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[list, list], Iterable[tuple]]], schema: str) -> DataFrame:
     """Rows that a Python function makes of Arrow batches of (ids, whole texts).
 
@@ -93,25 +100,25 @@ def per_text(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Cal
 HIT_BITS = 1 << 23
 
 
-def _slot(value: str) -> Column:
+def _word(value: str, bits: int) -> Column:
     # an expression that is never null: a join on it adds no filter that would compute it again
-    return F.xxhash64(value).bitwiseAND(F.lit(HIT_BITS - 1).cast("bigint"))
+    return F.shiftright(F.xxhash64(value).bitwiseAND(F.lit(bits - 1).cast("bigint")), 6)
 
 
 def _bit(value: str) -> Column:
     return F.expr(f"shiftleft(1L, cast(xxhash64({value}) & 63L as int))")
 
 
-def hit_bits(values: DataFrame, value: str) -> DataFrame:
+def hit_bits(values: DataFrame, value: str, bits: int = HIT_BITS) -> DataFrame:
     """A bitmap of fixed size, as rows (word, bits), that has the bit of every value set."""
-    return values.groupBy(F.shiftright(_slot(value), 6).alias("word")).agg(F.bit_or(_bit(value)).alias("bits"))
+    return values.groupBy(_word(value, bits).alias("word")).agg(F.bit_or(_bit(value)).alias("bits"))
 
 
-def with_hits(rows: DataFrame, value: str, bits: DataFrame) -> DataFrame:
+def with_hits(rows: DataFrame, value: str, bitmap: DataFrame, bits: int = HIT_BITS) -> DataFrame:
     """Rows whose value may be in the bitmap: all that are, and few others.
 
     Only this bounded table is broadcast. A full bitmap lets everything pass, which costs a
     larger shuffle afterwards and changes no result.
     """
-    tested = rows.withColumn("word", F.shiftright(_slot(value), 6)).join(F.broadcast(bits), "word")
+    tested = rows.withColumn("word", _word(value, bits)).join(F.broadcast(bitmap), "word")
     return tested.where(F.col("bits").bitwiseAND(_bit(value)) != 0).drop("word", "bits")
