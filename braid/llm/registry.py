@@ -38,6 +38,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op4_line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.edited_counts(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_quality, op2_decontamination, op3_substring_dedup, op4_line_dedup, op5_sorted_tables, op6_simhash, op7_html, op8_packing, op9_exact_dedup, op10_token_counts)
+OPERATORS = (op1_quality, op2_decontamination, op3_substring_dedup, op4_line_dedup, op4_line_classes, op5_sorted_tables, op6_simhash, op7_html, op8_packing, op9_exact_dedup, op10_token_counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
