@@ -142,6 +142,10 @@ def adjacent_to(spark: SparkSession, d: str) -> DataFrame:
     return adjacency.neighbours(_parts_links(spark, d, dst=PART), "dst", "src")
 
 
+def adjacent_to_all(spark: SparkSession, d: str) -> DataFrame:
+    return adjacency.neighbours(_parts_links(spark, d), "dst", "src")
+
+
 def _exploded(rows: DataFrame) -> DataFrame:
     return rows.select("vertex_id", "neighbour_id", F.posexplode("hyperedges").alias("nth", "hyperedge_id")).withColumn("nth", F.col("nth").cast("bigint"))
 
@@ -260,6 +264,7 @@ _SQL: dict[Query, str] = {
     vertex_hyperedges: _INC + "SELECT DISTINCT vertex_id, hyperedge_id FROM inc",
     full_vertex_hyperedges: _INC + f"SELECT hyperedge_id, pos, vertex_id FROM inc WHERE hyperedge_id IN (SELECT hyperedge_id FROM inc WHERE vertex_id = {PART})",
     adjacent_from: _INC + "SELECT DISTINCT src AS vertex_id, dst AS neighbour_id FROM lk",
+    adjacent_to_all: _INC + "SELECT DISTINCT dst AS vertex_id, src AS neighbour_id FROM lk",
     adjacent_to: _INC + f"SELECT DISTINCT dst AS vertex_id, src AS neighbour_id FROM lk WHERE dst = {PART}",
     full_adjacent_from: _INC + "SELECT src AS vertex_id, dst AS neighbour_id, CAST(row_number() OVER (PARTITION BY src, dst ORDER BY hyperedge_id, pos) - 1 AS BIGINT) AS nth, hyperedge_id FROM lk",
     full_adjacent_to: _EVT + "SELECT dst AS vertex_id, src AS neighbour_id, CAST(row_number() OVER (PARTITION BY dst, src ORDER BY hyperedge_id, pos) - 1 AS BIGINT) AS nth, hyperedge_id FROM lk",

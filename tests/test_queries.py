@@ -62,3 +62,9 @@ def test_streamed_links(spark, sf_dir, tmp_path):
     query.stop()
     expected = relations.links(hyperedges).groupBy("src").count()
     assert sorted(map(tuple, spark.table("degrees").collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_bulk_adjacency_covers_all_vertices(spark, sf_dir):
+    one_way = Q.queries()["adjacent_from"](spark, sf_dir).collect()
+    other_way = Q.queries()["adjacent_to_all"](spark, sf_dir).collect()
+    assert sorted((r["neighbour_id"], r["vertex_id"]) for r in one_way) == sorted((r["vertex_id"], r["neighbour_id"]) for r in other_way)
