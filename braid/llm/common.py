@@ -1,8 +1,9 @@
 """Shared-folder tables and small helpers for the training-data operators.
 
 Everything that cuts lineage is written under ``spark.checkpoint.dir``, which the cluster
-names and every executor can read; a machine-local folder is used only where that
-setting is absent (tests on one machine).
+names and every executor can read. Only a session on one machine may do without that setting.
+Tables lie in a folder of their application; operators delete those that no result reads
+(``forget``), and ``release`` deletes the rest once results have been written elsewhere.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -21,12 +23,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows in one Arrow batch: documents may be long, so batches stay small.
+#: Rows that a Python function takes at a time: documents may be long. Spark bounds the bytes of a whole batch.
 ARROW_ROWS = 256
 
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _local_dir(spark.sparkContext.applicationId)).rstrip("/")
+    """The folder that driver and executors share; a local one only for a session on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = _local_dir(spark.sparkContext.applicationId)
+    return named.rstrip("/")
 
 
 @functools.cache
@@ -34,9 +43,13 @@ def _local_dir(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"braid-{application}-")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/braid/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/braid/{label}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, label: str, **options: str) -> DataFrame:
@@ -44,13 +57,51 @@ def settle(df: DataFrame, label: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for t in tables:
+        delete(t.sparkSession, t.scratch)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables of this application; results that were not written elsewhere go with them."""
+    delete(spark, _own_dir(spark))
+
+
+@contextmanager
+def library_on_path(spark: SparkSession) -> Iterator[None]:
+    """Functions that are made inside find this library in their Python workers."""
+    env = spark.sparkContext.environment
+    before = env.get("PYTHONPATH")
+    if before is None:
+        env["PYTHONPATH"] = str(Path(__file__).resolve().parents[2])
+    try:
+        yield
+    finally:
+        if before is None:
+            del env["PYTHONPATH"]
+
+
+def in_arrow(rows: DataFrame, run: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` of a function of one batch of at most ``ARROW_ROWS`` rows. No setting of the session changes."""
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ARROW_ROWS):
+                yield from run(batch.slice(at, ARROW_ROWS))
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of whole texts can hold; let Python workers find this library."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    with library_on_path(rows.sparkSession):
+        return rows.mapInArrow(each, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,18 +133,19 @@ def per_text(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Cal
     be null) and the texts as lists and yields rows in the order of ``schema``. If it has an
     attribute ``finish``, that is called after the last batch for the rows that are left.
     """
-    small_batches(docs.sparkSession)
     shape = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
-        batched = (of(b.column(0).to_pylist(), b.column(1).to_pylist()) for b in batches)
+        parts = (b.slice(at, ARROW_ROWS) for b in batches for at in range(0, b.num_rows, ARROW_ROWS))
+        batched = (of(b.column(0).to_pylist(), b.column(1).to_pylist()) for b in parts)
         for rows in itertools.chain(batched, (f() for f in [getattr(of, "finish", None)] if f)):
             if columns := list(zip(*rows)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape)], schema=shape)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    with library_on_path(docs.sparkSession):
+        return rows.mapInArrow(run, schema)
 
 
 #: Bits of a map of values that goes to all tasks: 2^17 words of 64 bits, whatever the input.

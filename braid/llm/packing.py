@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import per_text, settle
+from .common import library_on_path, per_text, settle
 from .encode import crc, encoder, tokenizer_path
 
 CAPACITY = 4096
@@ -133,4 +133,5 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     placed = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-    return ranked.mapInArrow(place, placed)
+    with library_on_path(spark):
+        return ranked.mapInArrow(place, placed)

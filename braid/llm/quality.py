@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, settle
+from .common import library_on_path, per_text, settle
 
 FEATURES = ("words", "word_len", "symbols", "upper", "digits", "ends", "caps", "variety", "top_word", "line_repeats", "gram_repeats", "packed", "odd_words", "marks")
 #: Share of the pooled diagonal in each class covariance.
@@ -165,4 +165,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.select("doc_id", "held_out", "x").mapInArrow(scored, "doc_id bigint, held_out boolean, score double, predicted int")
+    with library_on_path(docs.sparkSession):
+        return rows.select("doc_id", "held_out", "x").mapInArrow(scored, "doc_id bigint, held_out boolean, score double, predicted int")

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, scratch_path, settle
+from .common import library_on_path, per_text, scratch_path, settle
 from .encode import crc, encoder, tokenizer_path
 
 BLOCK_BYTES = 1 << 16
@@ -261,7 +261,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 columns = [pa.array(keys, pa.int64()), pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array(sums, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return frame.mapInArrow(scan, schema)
+    with library_on_path(frame.sparkSession):
+        return frame.mapInArrow(scan, schema)
 
 
 def round_trip(docs: DataFrame, **options) -> DataFrame:
