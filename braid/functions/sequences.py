@@ -35,8 +35,3 @@ def contracted(vertices: Column, merged: Sequence[int], target: int) -> Column:
     taken, to = ids(merged), F.lit(int(target)).cast("bigint")
     mapped = F.transform(vertices, lambda v: F.when(F.array_contains(taken, v), to).otherwise(v))
     return F.when(F.arrays_overlap(vertices, taken), collapsed(mapped)).otherwise(vertices)
-
-
-def link_count(vertices: Column) -> Column:
-    """Links of a sequence: one fewer than its members."""
-    return F.greatest(F.size(vertices) - 1, F.lit(0))

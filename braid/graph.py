@@ -45,7 +45,10 @@ class Graph:
 
     @classmethod
     def of(cls, vertices: DataFrame, hyperedges: DataFrame) -> Graph:
-        """A graph over existing tables; ids go on after the largest ones."""
+        """A graph over existing tables; ids go on after the largest ones.
+
+        The rows are taken as they are: ``weight_violations`` finds weights that repeat.
+        """
         check_weight_type(vertices.schema["weight"].dataType)
         check_weight_type(hyperedges.schema["weight"].dataType)
         v = vertices.agg(F.coalesce(F.max("vertex_id") + 1, F.lit(0))).first()[0]
@@ -91,10 +94,10 @@ class Graph:
         return adjacency.neighbours(self.links(), "dst", "src")
 
     def full_adjacency_from(self) -> DataFrame:
-        return adjacency.full_neighbours(self.links(), "src", "dst")
+        return adjacency.full_links(self.links(), "src", "dst")
 
     def full_adjacency_to(self) -> DataFrame:
-        return adjacency.full_neighbours(self.links(), "dst", "src")
+        return adjacency.full_links(self.links(), "dst", "src")
 
     def degrees_in(self) -> DataFrame:
         return adjacency.degrees(self.vertices, self.links(), "dst")
@@ -237,6 +240,9 @@ class Graph:
         from .operators.ingest import numbered
 
         check_weight_type(weights.schema["weight"].dataType)
+        weights = cut(weights)  # it is read several times
+        if not weights.where("weight is null").isEmpty():
+            raise E.InvalidWeight(weight=None)
         clash = weights.groupBy("weight").agg(F.count("*").alias("n")).where("n > 1").select("weight")
         clash = clash.union(weights.join(self.vertices, "weight", "left_semi").select("weight")).first()
         if clash is not None:
@@ -260,6 +266,7 @@ class Graph:
         from .operators.ingest import numbered
 
         check_weight_type(rows.schema["weight"].dataType)
+        rows = cut(rows)  # it is read several times
         if (bad := rows.where("vertices is null or size(vertices) = 0").first()) is not None:
             raise E.NoVerticesToCreate(weight=bad["weight"])
         if (bad := rows.where("weight is null or cost is null or cost < 0").first()) is not None:
@@ -318,6 +325,19 @@ class Graph:
         self._need_vertices([vertex])
         return self._next(vertices=self.vertices.where(F.col("vertex_id") != vertex), hyperedges=edit.drop_vertices(self.hyperedges, [vertex]))
 
+    def remove_hyperedges(self, gone: DataFrame) -> Graph:
+        """Without the hyperedges in ``gone(hyperedge_id)``; ids that no hyperedge has do nothing."""
+        return self._next(hyperedges=edit.drop_listed(self.hyperedges, gone))
+
+    def remove_vertices(self, gone: DataFrame) -> Graph:
+        """Without the vertices in ``gone(vertex_id)``, everywhere; ids that no vertex has do nothing."""
+        left = self.vertices.join(gone.select("vertex_id"), "vertex_id", "left_anti").select(self.vertices.columns)
+        return self._next(vertices=left, hyperedges=edit.drop_listed_vertices(self.hyperedges, gone))
+
+    def reverse_hyperedges(self, turned: DataFrame) -> Graph:
+        """The hyperedges in ``turned(hyperedge_id)`` reversed; ids that no hyperedge has do nothing."""
+        return self._next(hyperedges=edit.reverse_listed(self.hyperedges, turned))
+
     def contract(self, hyperedge: int, vertices: Sequence[int], target: int) -> tuple[Graph, list[int]]:
         """Merge ``vertices`` into ``target`` in every hyperedge; returns the given one's new sequence."""
         held = self.hyperedge_vertices(hyperedge)

@@ -11,8 +11,13 @@ def neighbours(links: DataFrame, near: str, far: str) -> DataFrame:
     return links.select(F.col(near).alias("vertex_id"), F.col(far).alias("neighbour_id")).distinct()
 
 
+def full_links(links: DataFrame, near: str, far: str) -> DataFrame:
+    """vertex_id, neighbour_id, hyperedge_id, pos: a row for each link, seen from the ``near`` end. No shuffle, no lists."""
+    return links.select(F.col(near).alias("vertex_id"), F.col(far).alias("neighbour_id"), "hyperedge_id", "pos")
+
+
 def full_neighbours(links: DataFrame, near: str, far: str) -> DataFrame:
-    """vertex_id, neighbour_id, hyperedges: one entry for each link, by (hyperedge, place)."""
+    """vertex_id, neighbour_id, hyperedges: one entry for each link, by (hyperedge, place). For links of one vertex."""
     crossed = F.array_sort(F.collect_list(F.struct("hyperedge_id", "pos")))
     grouped = links.groupBy(F.col(near).alias("vertex_id"), F.col(far).alias("neighbour_id")).agg(crossed.alias("crossed"))
     return grouped.select("vertex_id", "neighbour_id", F.col("crossed.hyperedge_id").alias("hyperedges"))

@@ -35,6 +35,33 @@ def drop_vertices(hyperedges: DataFrame, gone: Sequence[int]) -> DataFrame:
     return stripped.where(F.size("vertices") > 0)
 
 
+def drop_listed(hyperedges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Without the hyperedges whose id is in ``gone(hyperedge_id)``, however many these are."""
+    return hyperedges.join(gone.select("hyperedge_id"), "hyperedge_id", "left_anti").select(hyperedges.columns)
+
+
+def reverse_listed(hyperedges: DataFrame, turned: DataFrame) -> DataFrame:
+    """The hyperedges in ``turned(hyperedge_id)`` reversed."""
+    marked = hyperedges.join(turned.select("hyperedge_id").distinct().withColumn("__turned", F.lit(True)), "hyperedge_id", "left")
+    vertices = F.when(F.col("__turned"), F.reverse("vertices")).otherwise(F.col("vertices"))
+    return marked.withColumn("vertices", vertices).select(hyperedges.columns)
+
+
+def drop_listed_vertices(hyperedges: DataFrame, gone: DataFrame) -> DataFrame:
+    """All occurrences of the vertices in ``gone(vertex_id)`` taken out; hyperedges left empty go.
+
+    Only hyperedges that hold one of them are taken apart and put together again.
+    """
+    listed = gone.select("vertex_id").distinct()
+    members = hyperedges.select("hyperedge_id", F.posexplode("vertices").alias("pos", "vertex_id"))
+    hit = members.join(listed, "vertex_id", "left_semi").select("hyperedge_id").distinct()
+    left = members.join(hit, "hyperedge_id", "left_semi").join(listed, "vertex_id", "left_anti")
+    rebuilt = left.groupBy("hyperedge_id").agg(F.array_sort(F.collect_list(F.struct("pos", "vertex_id"))).alias("m"))
+    rebuilt = rebuilt.select("hyperedge_id", F.col("m.vertex_id").alias("vertices"))
+    changed = hyperedges.drop("vertices").join(rebuilt, "hyperedge_id").select(hyperedges.columns)
+    return hyperedges.join(hit, "hyperedge_id", "left_anti").select(hyperedges.columns).union(changed)
+
+
 def contract(hyperedges: DataFrame, merged: Sequence[int], target: int) -> DataFrame:
     return hyperedges.withColumn("vertices", contracted(F.col("vertices"), merged, target))
 

@@ -2,20 +2,26 @@
 
 A label is (distance, hops, predecessor, hyperedge), compared in that order: ties go to fewer
 hops, then the smaller predecessor, then the smaller hyperedge. Each round relaxes the
-links that leave the vertices whose (distance, hops) improved, and ends in a checkpoint.
+links that leave the vertices whose (distance, hops) improved. Only the labels that a round improved are
+written; labels of earlier rounds stay where they are and are looked up for the vertices that the round reached.
 Parallel links collapse to their cheapest before the first round.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
-#: The most frontier rows that are broadcast; beyond, the join is left to Spark.
+#: The most rows of a round that are broadcast; beyond, the join is left to Spark.
 BROADCAST_ROWS = 100_000
-
+#: Rounds after which the labels written so far become one table, so that plans stay small.
+MERGE_AFTER = 16
+#: The most labels that a path is rebuilt from on the driver; beyond, each hop is a lookup.
+PATH_ROWS = 1_000_000
 
 def cheapest_links(links: DataFrame) -> DataFrame:
     """src, dst, cost, hyperedge_id: the cheapest link of each ordered pair, ties to the smaller hyperedge."""
@@ -31,45 +37,61 @@ def distances(links: DataFrame, source: int, target: int | None = None) -> DataF
     """
     spark = links.sparkSession
     best = cut(cheapest_links(links))
-    start = "vertex_id bigint, distance bigint, hops int, pred bigint, via bigint, fresh boolean"
-    labels = spark.createDataFrame([(source, 0, 0, None, None, True)], start)
-    bound = None
+    row = "vertex_id bigint, label struct<distance: bigint, hops: int, pred: bigint, via: bigint>, moved boolean"
+    written = [spark.createDataFrame([(source, (0, 0, None, None), True)], row)]
+    fresh, bound = written[0], None
     while True:
-        frontier = labels.where("fresh")
+        frontier = fresh.where("moved").select(F.col("vertex_id").alias("src"), "label.distance", "label.hops")
         if bound is not None:
             frontier = frontier.where(F.col("distance") <= bound)
         n = frontier.limit(BROADCAST_ROWS + 1).count()
         if not n:
-            return labels.drop("fresh")
-        frontier = frontier.select(F.col("vertex_id").alias("src"), "distance", "hops")
-        reached = best.join(F.broadcast(frontier) if n <= BROADCAST_ROWS else frontier, "src").select(
-            F.col("dst").alias("vertex_id"),
-            F.struct((F.col("distance") + F.col("cost")).alias("distance"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("pred"), F.col("hyperedge_id").alias("via")).alias("label"),
-            F.lit(None).cast("struct<distance:bigint,hops:int>").alias("was"),
-        )
-        known = labels.select(
-            "vertex_id", F.struct("distance", "hops", "pred", "via").alias("label"), F.struct("distance", "hops").alias("was")
-        )
-        merged = known.unionByName(reached).groupBy("vertex_id").agg(F.min("label").alias("label"), F.max("was").alias("was"))
-        fresh = F.col("was").isNull() | (F.struct("label.distance", "label.hops") != F.col("was"))
-        labels = cut(merged.select("vertex_id", "label.*", fresh.alias("fresh")))
+            break
+        label = F.struct((F.col("distance") + F.col("cost")).alias("distance"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("pred"), F.col("hyperedge_id").alias("via"))
+        reached = best.join(_small(frontier, n), "src").groupBy(F.col("dst").alias("vertex_id")).agg(F.min(label).alias("label"))
+        reached = cut(reached)
+        wanted = _small(reached.select("vertex_id"), reached.limit(BROADCAST_ROWS + 1).count())
+        was = _labels(_all(written).join(wanted, "vertex_id", "left_semi")).withColumnRenamed("label", "was")
+        moved = F.col("was").isNull() | (F.struct("label.distance", "label.hops") != F.struct("was.distance", "was.hops"))
+        fresh = cut(reached.join(was, "vertex_id", "left").where("was is null or label < was").select("vertex_id", "label", moved.alias("moved")))
+        written.append(fresh)
+        if len(written) > MERGE_AFTER:
+            written = [cut(_labels(_all(written)).withColumn("moved", F.lit(False)))]
         if target is not None:
-            row = labels.where(F.col("vertex_id") == target).select("distance").first()
+            row = _labels(_all(written).where(F.col("vertex_id") == target)).select("label.distance").first()
             bound = row["distance"] if row else None
+    return _labels(_all(written)).select("vertex_id", "label.*")
+
+
+def _all(written: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, written)
+
+
+def _labels(rows: DataFrame) -> DataFrame:
+    """The best label of each vertex, which is the last one written."""
+    return rows.groupBy("vertex_id").agg(F.min("label").alias("label"))
+
+
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
 
 
 def path(links: DataFrame, source: int, target: int) -> list[tuple[int, int | None]]:
     """(vertex, hyperedge that led to it) from ``source`` to ``target``; empty if there is no way.
 
-    Rebuilt backwards over predecessors, one lookup for each hop of the answer.
+    Rebuilt backwards over predecessors: from one read of the labels where they are at most ``PATH_ROWS``, else
+    with one lookup for each hop of the answer.
     """
     if source == target:
         return [(source, None)]
-    labels = distances(links, source, target)
+    labels = cut(distances(links, source, target).select("vertex_id", "pred", "via"))
+    known = None
+    if labels.limit(PATH_ROWS + 1).count() <= PATH_ROWS:
+        known = {r["vertex_id"]: r for r in labels.collect()}
     steps: list[tuple[int, int | None]] = []
     at: int | None = target
     while at is not None:
-        row = labels.where(F.col("vertex_id") == at).first()
+        row = labels.where(F.col("vertex_id") == at).first() if known is None else known.get(at)
         if row is None:
             return []
         steps.append((at, row["via"]))

@@ -11,7 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import adjacency, edit, intersect, materialize, paths, relations
+from pyspark.sql import types as T
+
+from .graph import Graph
+from .operators import adjacency, edit, intersect, paths, relations
 from .sources import sample
 
 #: Vertices and hyperedges that the point queries ask for.
@@ -70,32 +73,33 @@ def _count(rows: DataFrame, name: str) -> DataFrame:
     return rows.agg(F.count("*").alias(name))
 
 
+def _graph(spark: SparkSession, d: str) -> Graph:
+    """Parts and the orders that hold them."""
+    return Graph.of(sample.parts(spark, d), sample.order_parts(spark, d))
+
+
+def _sizes(graph: Graph) -> DataFrame:
+    return graph.spark.createDataFrame([(graph.count_vertices(), graph.count_hyperedges())], "n_vertices bigint, n_hyperedges bigint")
+
+
 def new_empty(spark: SparkSession, d: str) -> DataFrame:
     """Operators new, with_capacity, default."""
-    vertices, hyperedges = sample.parts(spark, d).limit(0), sample.order_parts(spark, d).limit(0)
-    return _count(vertices, "n_vertices").withColumn("n_hyperedges", _count(hyperedges, "n").scalar())
+    return _sizes(Graph.new(spark, T.StringType(), T.LongType(), 10, 10))
 
 
 def clear(spark: SparkSession, d: str) -> DataFrame:
-    from .graph import Graph
-
-    graph = Graph(sample.parts(spark, d), sample.order_parts(spark, d), 0, 0).clear()
-    return _count(graph.vertices, "n_vertices").withColumn("n_hyperedges", _count(graph.hyperedges, "n").scalar())
+    return _sizes(_graph(spark, d).clear())
 
 
 def clear_hyperedges(spark: SparkSession, d: str) -> DataFrame:
-    from .graph import Graph
-
-    graph = Graph(sample.parts(spark, d), sample.order_parts(spark, d), 0, 0).clear_hyperedges()
-    return _count(graph.vertices, "n_vertices").withColumn("n_hyperedges", _count(graph.hyperedges, "n").scalar())
+    return _sizes(_graph(spark, d).clear_hyperedges())
 
 
 def materialized(spark: SparkSession, d: str) -> DataFrame:
-    rows = materialize.long_form(sample.parts(spark, d), sample.order_parts(spark, d))
-    return rows.select(
-        "hyperedge_id", F.col("pos").cast("bigint").alias("pos"), F.col("weight.cost").alias("cost"),
-        F.col("vertex_weight.p_partkey").alias("p_partkey"), F.col("vertex_weight.p_name").alias("p_name"),
-    )
+    rows = Graph(sample.parts(spark, d), sample.order_parts(spark, d), 0, 0).materialized()
+    return rows.select("hyperedge_id", "weight.cost", F.posexplode("vertex_weights").alias("pos", "w")).select(
+        "hyperedge_id", F.col("pos").cast("bigint").alias("pos"), "cost", "w.p_partkey", "w.p_name"
+    )
 
 
 def incidence(spark: SparkSession, d: str) -> DataFrame:
@@ -115,11 +119,11 @@ def count_hyperedges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vertex_weight(spark: SparkSession, d: str) -> DataFrame:
-    return sample.parts(spark, d).where(F.col("vertex_id") == PART).select("vertex_id", "weight.p_name")
+    return spark.createDataFrame([(PART, _graph(spark, d).vertex_weight(PART)["p_name"])], "vertex_id bigint, p_name string")
 
 
 def hyperedge_weight(spark: SparkSession, d: str) -> DataFrame:
-    return sample.order_parts(spark, d).where(F.col("hyperedge_id") == ORDER).select("hyperedge_id", "cost")
+    return spark.createDataFrame([(ORDER, _graph(spark, d).hyperedge_weight(ORDER)["cost"])], "hyperedge_id bigint, cost bigint")
 
 
 def hyperedge_vertices(spark: SparkSession, d: str) -> DataFrame:
@@ -146,16 +150,23 @@ def adjacent_to_all(spark: SparkSession, d: str) -> DataFrame:
     return adjacency.neighbours(_parts_links(spark, d), "dst", "src")
 
 
-def _exploded(rows: DataFrame) -> DataFrame:
-    return rows.select("vertex_id", "neighbour_id", F.posexplode("hyperedges").alias("nth", "hyperedge_id")).withColumn("nth", F.col("nth").cast("bigint"))
+def _long_links(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def full_adjacent_from(spark: SparkSession, d: str) -> DataFrame:
-    return _exploded(adjacency.full_neighbours(_parts_links(spark, d), "src", "dst"))
+    return _long_links(adjacency.full_links(_parts_links(spark, d), "src", "dst"))
 
 
 def full_adjacent_to(spark: SparkSession, d: str) -> DataFrame:
-    return _exploded(adjacency.full_neighbours(relations.links(sample.user_events(spark, d)), "dst", "src"))
+    return _long_links(adjacency.full_links(relations.links(sample.user_events(spark, d)), "dst", "src"))
+
+
+def full_adjacent_to_one(spark: SparkSession, d: str) -> DataFrame:
+    """The point form, with a list for each neighbour."""
+    found = _graph(spark, d).full_adjacent_to(PART)
+    rows = [(neighbour, nth, h) for neighbour, hyperedges in found for nth, h in enumerate(hyperedges)]
+    return spark.createDataFrame(rows, "neighbour_id bigint, nth bigint, hyperedge_id bigint")
 
 
 def hyperedges_connecting(spark: SparkSession, d: str) -> DataFrame:
@@ -187,46 +198,72 @@ def intersections_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def add_vertex(spark: SparkSession, d: str) -> DataFrame:
-    vertices = sample.parts(spark, d)
-    free = vertices.agg(F.max("vertex_id") + 1).scalar()
-    new = spark.range(1).select(free.alias("vertex_id"), F.lit("added").alias("p_name"))
-    return vertices.select("vertex_id", "weight.p_name").union(new)
+    graph, _ = _graph(spark, d).add_vertex((0, "added"))
+    return graph.vertices.select("vertex_id", "weight.p_name")
+
+
+def add_vertices(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers join the parts as vertices, numbered in the order of their keys."""
+    weights = sample.table(spark, d, "supplier").select(F.struct((-F.col("s_suppkey")).alias("p_partkey"), F.col("s_name").alias("p_name")).alias("weight"), "s_suppkey")
+    return _graph(spark, d).add_vertices(weights, ["s_suppkey"]).vertices.select("vertex_id", "weight.p_name")
 
 
 def add_hyperedge(spark: SparkSession, d: str) -> DataFrame:
-    hyperedges = sample.order_parts(spark, d).select("hyperedge_id", "vertices")
-    free = hyperedges.agg(F.max("hyperedge_id") + 1).scalar()
-    new = spark.range(1).select(free.alias("hyperedge_id"), F.array(*[F.lit(p).cast("bigint") for p in PARTS]).alias("vertices"))
-    return _long(hyperedges.union(new))
+    graph, _ = _graph(spark, d).add_hyperedge(PARTS, (0, 0), 0)
+    return _long(graph.hyperedges)
+
+
+def add_hyperedges(spark: SparkSession, d: str) -> DataFrame:
+    """All orders enter a graph of parts at once, numbered by cost and key."""
+    rows = sample.order_parts(spark, d)
+    graph = _graph(spark, d).clear_hyperedges().add_hyperedges(rows.select("vertices", "weight", "cost", "hyperedge_id"), ["cost", "hyperedge_id"])
+    return _long(graph.hyperedges)
 
 
 def update_vertex_weight(spark: SparkSession, d: str) -> DataFrame:
-    rows = sample.parts(spark, d).select("vertex_id", F.col("weight.p_name").alias("p_name"))
-    return edit.replace(rows, "vertex_id", PART, p_name=F.lit("renamed"))
+    return _graph(spark, d).update_vertex_weight(PART, (0, "renamed")).vertices.select("vertex_id", "weight.p_name")
 
 
 def update_hyperedge_weight(spark: SparkSession, d: str) -> DataFrame:
-    rows = sample.order_parts(spark, d).select("hyperedge_id", "cost")
-    return edit.replace(rows, "hyperedge_id", ORDER, cost=F.lit(1).cast("bigint"))
+    graph = _graph(spark, d).update_hyperedge_weight(ORDER, (0, 2), 1)
+    return graph.hyperedges.select("hyperedge_id", F.col("weight.cost").alias("weight_cost"), "cost")
 
 
 def update_hyperedge_vertices(spark: SparkSession, d: str) -> DataFrame:
-    return _long(edit.set_vertices(sample.order_parts(spark, d), ORDER, [*PARTS, PARTS[0]]))
+    return _long(_graph(spark, d).update_hyperedge_vertices(ORDER, [*PARTS, PARTS[0]]).hyperedges)
 
 
 def reverse_hyperedge(spark: SparkSession, d: str) -> DataFrame:
-    rows = sample.order_parts(spark, d)
-    return _long(rows.withColumn("vertices", F.reverse("vertices")))
+    return _long(_graph(spark, d).reverse_hyperedge(ORDER).hyperedges)
+
+
+def _dear(spark: SparkSession, d: str) -> DataFrame:
+    """hyperedge_id of the orders over a price, as a table of ids."""
+    return sample.order_weights(spark, d).where("cost > 15000000").select("hyperedge_id")
+
+
+def reverse_hyperedges(spark: SparkSession, d: str) -> DataFrame:
+    return _long(Graph(sample.parts(spark, d), sample.order_parts(spark, d), 0, 0).reverse_hyperedges(_dear(spark, d)).hyperedges)
 
 
 def remove_hyperedge(spark: SparkSession, d: str) -> DataFrame:
     return _long(edit.drop_hyperedges(sample.order_parts(spark, d), ORDERS))
 
 
+def remove_hyperedges(spark: SparkSession, d: str) -> DataFrame:
+    return _long(Graph(sample.parts(spark, d), sample.order_parts(spark, d), 0, 0).remove_hyperedges(_dear(spark, d)).hyperedges)
+
+
 def remove_vertex(spark: SparkSession, d: str) -> DataFrame:
     return _long(edit.drop_vertices(sample.order_nations(spark, d), [NATION]))
 
 
+def remove_vertices(spark: SparkSession, d: str) -> DataFrame:
+    """Without the nations of one region."""
+    gone = sample.table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").cast("bigint").alias("vertex_id"))
+    return _long(Graph(sample.nations(spark, d), sample.order_nations(spark, d), 0, 0).remove_vertices(gone).hyperedges)
+
+
 def contract_vertices(spark: SparkSession, d: str) -> DataFrame:
     return _long(edit.contract(sample.order_nations(spark, d), [NATION, TO_NATION, 11], NATION))
 
@@ -245,7 +282,10 @@ def shortest_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 def weight_violations(spark: SparkSession, d: str) -> DataFrame:
-    return sample.parts(spark, d).groupBy("weight.p_name").agg(F.count("*").alias("n")).where("n > 1")
+    """Parts by name alone, which repeats."""
+    vertices = sample.parts(spark, d).select("vertex_id", F.col("weight.p_name").alias("weight"))
+    graph = Graph(vertices, sample.order_parts(spark, d), 0, 0)
+    return graph.weight_violations().select("kind", F.get_json_object("weight", "$.weight").alias("p_name"), "n")
 
 
 _LIST = ", ".join(map(str, ORDERS))
@@ -266,8 +306,9 @@ _SQL: dict[Query, str] = {
     adjacent_from: _INC + "SELECT DISTINCT src AS vertex_id, dst AS neighbour_id FROM lk",
     adjacent_to_all: _INC + "SELECT DISTINCT dst AS vertex_id, src AS neighbour_id FROM lk",
     adjacent_to: _INC + f"SELECT DISTINCT dst AS vertex_id, src AS neighbour_id FROM lk WHERE dst = {PART}",
-    full_adjacent_from: _INC + "SELECT src AS vertex_id, dst AS neighbour_id, CAST(row_number() OVER (PARTITION BY src, dst ORDER BY hyperedge_id, pos) - 1 AS BIGINT) AS nth, hyperedge_id FROM lk",
-    full_adjacent_to: _EVT + "SELECT dst AS vertex_id, src AS neighbour_id, CAST(row_number() OVER (PARTITION BY dst, src ORDER BY hyperedge_id, pos) - 1 AS BIGINT) AS nth, hyperedge_id FROM lk",
+    full_adjacent_from: _INC + "SELECT src AS vertex_id, dst AS neighbour_id, hyperedge_id, pos FROM lk",
+    full_adjacent_to: _EVT + "SELECT dst AS vertex_id, src AS neighbour_id, hyperedge_id, pos FROM lk",
+    full_adjacent_to_one: _INC + f"SELECT src AS neighbour_id, CAST(row_number() OVER (PARTITION BY src ORDER BY hyperedge_id, pos) - 1 AS BIGINT) AS nth, hyperedge_id FROM lk WHERE dst = {PART}",
     hyperedges_connecting: _NAT + f"SELECT hyperedge_id FROM lk WHERE src = {NATION} AND dst = {TO_NATION}",
     degree_in: _INC + "SELECT p_partkey AS vertex_id, count(dst) AS degree FROM part LEFT JOIN lk ON dst = p_partkey GROUP BY 1",
     degree_out: _INC + "SELECT p_partkey AS vertex_id, count(src) AS degree FROM part LEFT JOIN lk ON src = p_partkey GROUP BY 1",
@@ -276,11 +317,16 @@ _SQL: dict[Query, str] = {
     intersections_same: _NAT + f"SELECT DISTINCT vertex_id FROM inc WHERE hyperedge_id = {ORDER}",
     intersections_pairs: _NAT + "SELECT DISTINCT x.hyperedge_id AS a, y.hyperedge_id AS b, x.vertex_id FROM inc x JOIN inc y ON y.hyperedge_id = x.hyperedge_id + 1 AND x.vertex_id = y.vertex_id",
     add_vertex: "SELECT p_partkey AS vertex_id, p_name FROM part UNION ALL SELECT max(p_partkey) + 1, 'added' FROM part",
+    add_vertices: "SELECT p_partkey AS vertex_id, p_name FROM part UNION ALL SELECT (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY s_suppkey), s_name FROM supplier",
+    add_hyperedges: _INC + ", num AS (SELECT hyperedge_id, CAST(row_number() OVER (ORDER BY cost, hyperedge_id) - 1 AS BIGINT) AS id FROM cost WHERE hyperedge_id IN (SELECT hyperedge_id FROM inc)) SELECT id AS hyperedge_id, pos, vertex_id FROM inc JOIN num USING (hyperedge_id)",
     add_hyperedge: _INC + f"SELECT hyperedge_id, pos, vertex_id FROM inc UNION ALL SELECT m.h, p.pos, p.v FROM (SELECT max(hyperedge_id) + 1 AS h FROM inc) m, (VALUES (0, {PARTS[0]}), (1, {PARTS[1]}), (2, {PARTS[2]})) p(pos, v)",
     update_vertex_weight: f"SELECT p_partkey AS vertex_id, CASE WHEN p_partkey = {PART} THEN 'renamed' ELSE p_name END AS p_name FROM part",
-    update_hyperedge_weight: _INC + f"SELECT hyperedge_id, CASE WHEN hyperedge_id = {ORDER} THEN 1 ELSE cost END AS cost FROM cost WHERE hyperedge_id IN (SELECT hyperedge_id FROM inc)",
+    update_hyperedge_weight: _INC + f"SELECT hyperedge_id, CASE WHEN hyperedge_id = {ORDER} THEN 2 ELSE cost END AS weight_cost, CASE WHEN hyperedge_id = {ORDER} THEN 1 ELSE cost END AS cost FROM cost WHERE hyperedge_id IN (SELECT hyperedge_id FROM inc)",
     update_hyperedge_vertices: _INC + f"SELECT hyperedge_id, pos, vertex_id FROM inc WHERE hyperedge_id <> {ORDER} UNION ALL SELECT {ORDER}, p.pos, p.v FROM (VALUES (0, {PARTS[0]}), (1, {PARTS[1]}), (2, {PARTS[2]}), (3, {PARTS[0]})) p(pos, v)",
-    reverse_hyperedge: _INC + f"SELECT hyperedge_id, {_RENUMBER.format(order='i.pos DESC')}, vertex_id FROM inc i",
+    reverse_hyperedge: _INC + f"SELECT hyperedge_id, CASE WHEN hyperedge_id = {ORDER} THEN max(pos) OVER (PARTITION BY hyperedge_id) - pos ELSE pos END AS pos, vertex_id FROM inc",
+    reverse_hyperedges: _INC + "SELECT hyperedge_id, CASE WHEN cost > 15000000 THEN max(pos) OVER (PARTITION BY hyperedge_id) - pos ELSE pos END AS pos, vertex_id FROM inc JOIN cost USING (hyperedge_id)",
+    remove_hyperedges: _INC + "SELECT hyperedge_id, pos, vertex_id FROM inc JOIN cost USING (hyperedge_id) WHERE cost <= 15000000",
+    remove_vertices: _NAT + f"SELECT hyperedge_id, {_RENUMBER.format(order='i.pos')}, vertex_id FROM inc i WHERE vertex_id NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
     remove_hyperedge: _INC + f"SELECT hyperedge_id, pos, vertex_id FROM inc WHERE hyperedge_id NOT IN ({_LIST})",
     remove_vertex: _NAT + f"SELECT hyperedge_id, {_RENUMBER.format(order='i.pos')}, vertex_id FROM inc i WHERE vertex_id <> {NATION}",
     contract_vertices: _NAT + f""", t AS (SELECT *, bool_or(vertex_id IN ({NATION}, {TO_NATION}, 11)) OVER (PARTITION BY hyperedge_id) AS hit,
@@ -303,7 +349,7 @@ _SQL: dict[Query, str] = {
         back(v, e, h) AS (SELECT v, m.e, h FROM pre WHERE v = {TO_NATION} UNION ALL
                 SELECT pre.v, pre.m.e, pre.h FROM back JOIN pre nxt ON nxt.v = back.v JOIN pre ON pre.v = nxt.m.p)
         SELECT h AS step, v AS vertex_id, e AS via_hyperedge_id FROM back UNION ALL SELECT 0, {NATION}, NULL WHERE EXISTS (SELECT 1 FROM back)""",
-    weight_violations: "SELECT p_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1",
+    weight_violations: "SELECT 'vertex' AS kind, p_name, count(*) AS n FROM part GROUP BY 2 HAVING count(*) > 1",
 }
 
 

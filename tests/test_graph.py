@@ -235,6 +235,29 @@ def test_bulk_ingest(spark):
         g.add_hyperedges(spark.range(1).selectExpr("array(9999L) as vertices", "777L as weight", "0L as cost"), ["weight"])
 
 
+def test_null_weights_are_refused_in_bulk(spark):
+    g = Graph.new(spark, T.StringType(), T.LongType())
+    with pytest.raises(E.InvalidWeight):
+        g.add_vertices(spark.createDataFrame([("a",), (None,)], "weight string"), ["weight"])
+    g = g.add_vertices(spark.createDataFrame([("a",)], "weight string"), ["weight"])
+    with pytest.raises(E.InvalidWeight):
+        g.add_hyperedges(spark.createDataFrame([([0], None, 1)], "vertices array<bigint>, weight bigint, cost bigint"), ["cost"])
+
+
+def test_batch_edits(spark, letters):
+    ids = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} bigint")
+    assert edges(letters.remove_hyperedges(ids("hyperedge_id", [0, 2, 2, 99]))) == {1: [0, 2, 3, 4, 2], 3: [1, 2, 1, 3, 2], 4: [2, 2, 2]}
+    assert edges(letters.reverse_hyperedges(ids("hyperedge_id", [1, 1, 4, 99]))) == {0: [0, 1, 2, 3, 4], 1: [2, 4, 3, 2, 0], 2: [0, 4, 1], 3: [1, 2, 1, 3, 2], 4: [2, 2, 2]}
+    g = letters.remove_vertices(ids("vertex_id", [2, 3, 3, 99]))
+    assert edges(g) == {0: [0, 1, 4], 1: [0, 4], 2: [0, 4, 1], 3: [1, 1]} and g.count_vertices() == 3
+    assert edges(letters.remove_vertices(ids("vertex_id", []))) == edges(letters)
+
+
+def test_bulk_neighbours_are_long_rows(letters):
+    rows = letters.full_adjacency_from().where("vertex_id = 1").select("neighbour_id", "hyperedge_id", "pos").collect()
+    assert sorted(map(tuple, rows)) == [(2, 0, 1), (2, 3, 0), (3, 3, 2)]
+
+
 def test_weight_types(spark):
     for kind in (T.DoubleType(), T.StructType([T.StructField("x", T.FloatType())]), T.MapType(T.StringType(), T.LongType())):
         with pytest.raises(E.InvalidWeight):

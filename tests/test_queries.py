@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from braid import queries as Q
+from braid.graph import Graph
 from braid.operators import relations
 from braid.plans import inspect
 from braid.sources import sample
@@ -44,6 +45,19 @@ def test_links_need_no_shuffle(spark, sf_dir, tmp_path):
     assert plan.index("Generate") < plan.index("array_contains")  # below the explode
 
 
+def test_full_neighbours_and_materialized_plans(spark, sf_dir, tmp_path):
+    sample.order_parts(spark, sf_dir).write.parquet(str(tmp_path / "h"))
+    sample.parts(spark, sf_dir).write.parquet(str(tmp_path / "v"))
+    graph = Graph(spark.read.parquet(str(tmp_path / "v")), spark.read.parquet(str(tmp_path / "h")), 0, 0)
+    assert inspect.shuffles(graph.full_adjacency_from()) == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counted = inspect.nodes(graph.materialized())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert counted["SortMergeJoin"] == 1 and counted["Scan"] + counted["FileScan"] <= 2
+
+
 def test_entry_imports(spark):
     import __spark_entry__ as entry
 
