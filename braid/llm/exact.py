@@ -1,9 +1,15 @@
 """Exact dedup: a log-structured merge index of digests. DataFrame functions only.
 
-Write path: each input partition is a memtable. It is flushed as a run of
-(digest, id, row tag, count), sorted by digest, with a Bloom filter and min/max statistics
-in the Parquet footer. Compaction merges runs: the smallest identifier and the sum of the
-counts stay for each digest. A digest whose count is over one is a hit; texts of hits are
+Write path: the rows of each task are dealt to memtables of at most ``MEMTABLE`` rows, and each is flushed as a
+file of (digest, id, row tag, count), sorted by digest, with a Bloom filter and min/max statistics in its footer. The files
+of one flush are a run of level 0. A level that holds ``FANOUT`` runs is compacted into one run of the
+next level, and the runs it was made of are retired: the smallest identifier and the sum of the
+counts stay for each digest, and every row counts in exactly one live run.
+
+Read path: a lookup tests keys against the filter of each live run, a bitmap of fixed size made
+when the run is written, and joins only the keys that pass with that run.
+
+A digest whose count is over one is a hit; texts of hits are
 compared byte by byte (smallest and largest text of a digest must be equal), and digests
 that fail are grouped again by the text itself, so a collision never merges two texts.
 
@@ -15,30 +21,43 @@ minimum and maximum in each task, behind a bitmap of fixed size that keeps non-h
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hit_bits, one_space, scratch_path, settle, with_hits
+from .common import delete, forget, hit_bits, one_space, scratch_path, settle, with_hits
 
 RUN_SCHEMA = "digest binary, id_null boolean, id bigint, tag bigint, n bigint"
+#: The most rows of a memtable.
+MEMTABLE = 1_000_000
+#: Runs of a level that are compacted into one of the next.
+FANOUT = 4
 
 
 def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+@dataclass
+class Run:
+    """Sorted files of digests and the bitmap of those digests."""
+
+    path: str
+    filter: DataFrame
+
+
 class DigestIndex:
-    """Runs of digests in the shared folder; ``levels[k]`` lists the runs of level k."""
+    """Runs of digests in the shared folder; ``levels[k]`` lists the live runs of level k, oldest first."""
 
-    def __init__(self, spark: SparkSession, digest: Callable[[Column], Column] = sha256_digest):
-        self.spark, self.digest = spark, digest
-        self.levels: list[list[str]] = [[], []]
+    def __init__(self, spark: SparkSession, digest: Callable[[Column], Column] = sha256_digest, memtable: int = MEMTABLE, fanout: int = FANOUT):
+        self.spark, self.digest, self.memtable, self.fanout = spark, digest, memtable, fanout
+        self.levels: list[list[Run]] = [[]]
+        self.retired: list[Run] = []
 
-    def flush(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> str:
-        """Write the memtables of ``docs`` as a level-0 run and return its path."""
-        path = scratch_path(self.spark, "run")
+    def flush(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Write the memtables of ``docs`` as a run of level 0, compact full levels, and return the run's rows."""
         rows = docs.select(
             self.digest(one_space(F.col(text_col))).alias("digest"),
             F.col(id_col).isNull().alias("id_null"),
@@ -46,27 +65,57 @@ class DigestIndex:
             F.monotonically_increasing_id().alias("tag"),
             F.lit(1).cast("bigint").alias("n"),
         )
-        self._write(rows.sortWithinPartitions("digest"), path)
-        self.levels[0].append(path)
-        return path
-
-    def _write(self, rows: DataFrame, path: str) -> None:
-        rows.write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
-
-    def read(self, paths: list[str]) -> DataFrame:
-        frames = [self.spark.read.schema(RUN_SCHEMA).parquet(p) for p in paths]
+        run = self._write(rows, 0)
+        level = 0
+        while len(self.levels[level]) >= self.fanout:
+            self.compact(level)
+            level += 1
+        return self.read(run)
+
+    def _write(self, rows: DataFrame, level: int) -> Run:
+        path = scratch_path(self.spark, f"run-{level}")
+        writer = rows.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true")
+        writer.option("maxRecordsPerFile", self.memtable).parquet(path)
+        digests = self.spark.read.schema(RUN_SCHEMA).parquet(path)
+        run = Run(path, settle(hit_bits(digests, "digest"), "run-filter"))
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(run)
+        return run
+
+    def read(self, *runs: Run) -> DataFrame:
+        frames = [self.spark.read.schema(RUN_SCHEMA).parquet(r.path) for r in runs]
         return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], RUN_SCHEMA)
 
-    def compact(self) -> DataFrame:
-        """Merge every run into one level-1 run; smallest identifiers and summed counts stay.
+    @property
+    def runs(self) -> list[Run]:
+        return [r for level in self.levels for r in level]
+
+    def compact(self, level: int | None = None) -> DataFrame:
+        """Merge the runs of ``level``, or of all levels, into one run below and return its rows.
 
-        The level-0 run files stay readable for their documents' rows; lookups use level 1.
+        The merged runs are retired: nothing looks them up, and ``drop_retired`` deletes them.
         """
-        merged = merge(self.read(self.levels[0] + self.levels[1]), F.col("digest")).sortWithinPartitions("digest")
-        path = scratch_path(self.spark, "compacted")
-        self._write(merged, path)
-        self.levels[1] = [path]
-        return self.read([path])
+        merged = self.runs if level is None else list(self.levels[level])
+        below = (len(self.levels) - 1 if level is None else level) + 1
+        for k in range(len(self.levels)) if level is None else [level]:
+            self.levels[k] = []
+        run = self._write(merge(self.read(*merged), F.col("digest")), below)
+        self.retired += merged
+        return self.read(run)
+
+    def drop_retired(self) -> None:
+        """Delete the files of retired runs."""
+        for run in self.retired:
+            delete(self.spark, run.path)
+            forget(run.filter)
+        self.retired = []
+
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """digest, id_null, id, tag, n of the ``keys(digest)`` that the live runs hold: smallest identifier, summed count."""
+        distinct = keys.select("digest").distinct()
+        parts = [with_hits(distinct, "digest", run.filter).join(self.read(run), "digest") for run in self.runs]
+        return merge(reduce(DataFrame.unionByName, parts) if parts else self.read(), F.col("digest"))
 
 
 def merge(rows: DataFrame, *keys: Column) -> DataFrame:
@@ -92,7 +141,7 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``digest`` is given (as tests do, to provoke collisions).
     """
     index = DigestIndex(docs.sparkSession, digest)
-    run = index.read([index.flush(docs, id_col, text_col)])
+    run = index.flush(docs, id_col, text_col)
     compacted = index.compact()
     bad = settle(collisions(docs, compacted, digest, text_col), "collisions")
     resolved = _resolve(run, compacted.where("n > 1"), ["digest"])

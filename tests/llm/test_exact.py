@@ -48,13 +48,40 @@ def test_empty(no_docs):
     assert exact.dedup_exact(no_docs).isEmpty()
 
 
+def flushed(spark, index, rows):
+    index.flush(spark.createDataFrame(rows, "doc_id bigint, text string"))
+
+
+def held(rows):
+    return {r["id"]: r["n"] for r in rows.collect()}
+
+
 def test_index_merges_batches(spark):
     index = exact.DigestIndex(spark)
-    for batch in ([(5, "a"), (6, "b")], [(2, "a"), (9, "c")]):
-        index.flush(spark.createDataFrame(batch, "doc_id bigint, text string"))
-        merged = index.compact()
-    rows = {r["id"]: r["n"] for r in merged.collect()}
-    assert rows == {2: 3, 6: 2, 9: 1} or rows == {2: 2, 6: 1, 9: 1}
+    for batch, counts in (([(5, "a"), (6, "b")], {5: 1, 6: 1}), ([(2, "a"), (9, "c")], {2: 2, 6: 1, 9: 1}), ([(1, "c"), (7, "c"), (8, "d")], {2: 2, 6: 1, 1: 3, 8: 1})):
+        flushed(spark, index, batch)
+        assert held(index.compact()) == counts
+    assert len(index.runs) == 1 and len(index.retired) == 5
+    index.drop_retired()
+    assert held(index.lookup(index.read(*index.runs))) == {2: 2, 6: 1, 1: 3, 8: 1}
+
+
+def test_levels_fill_and_lookups_see_every_live_run(spark):
+    index, rows = exact.DigestIndex(spark, memtable=2, fanout=2), []
+    for k in range(5):
+        batch = [(100 - 10 * k + j, "text %d" % (j % (k + 2))) for j in range(7)]
+        rows += batch
+        flushed(spark, index, batch)
+        if k == 2:
+            index.compact()
+    assert [len(level) for level in index.levels].count(0) >= 1 and 2 <= len(index.runs) <= 3
+    keys = spark.createDataFrame([(f"text {j}",) for j in (0, 1, 5, 9)], "text string").select(index.digest(F.col("text")).alias("digest"))
+    expected = {}
+    for i, text in rows:
+        if text in ("text 0", "text 1", "text 5"):
+            least, n = expected.get(text, (i, 0))
+            expected[text] = (min(least, i), n + 1)
+    assert held(index.lookup(keys)) == dict(expected.values())
 
 
 def test_one_space(spark):
