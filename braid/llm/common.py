@@ -120,10 +120,16 @@ def one_space(text: Column) -> Column:
     return F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " {2,}", " ")).otherwise(flat)
 
 
+def ends_of(column: pa.Array) -> list[int]:
+    """Where the lists of an Arrow list column begin in its flat values, and the end."""
+    at = column.offsets.to_numpy()
+    return (at - at[0]).tolist()
+
+
 def slices(column: pa.Array) -> Iterator[np.ndarray]:
     """The lists of an Arrow list column as NumPy views."""
-    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    return (values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist()))
+    values, at = column.flatten().to_numpy(zero_copy_only=False), ends_of(column)
+    return (values[a:b] for a, b in zip(at, at[1:]))
 
 
 def per_text(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[list, list], Iterable[tuple]]], schema: str) -> DataFrame:
@@ -174,3 +180,9 @@ def with_hits(rows: DataFrame, value: str, bitmap: DataFrame, bits: int = HIT_BI
     """
     tested = rows.withColumn("word", _word(value, bits)).join(F.broadcast(bitmap), "word")
     return tested.where(F.col("bits").bitwiseAND(_bit(value)) != 0).drop("word", "bits")
+
+
+def without_hits(rows: DataFrame, value: str, bitmap: DataFrame, bits: int = HIT_BITS) -> DataFrame:
+    """The rows that ``with_hits`` leaves out."""
+    tested = rows.withColumn("word", _word(value, bits)).join(F.broadcast(bitmap), "word", "left")
+    return tested.where(F.coalesce(F.col("bits"), F.lit(0).cast("bigint")).bitwiseAND(_bit(value)) == 0).drop("word", "bits")

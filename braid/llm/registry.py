@@ -22,6 +22,11 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction by the repeated substrings of each host alone, with no structure consulted."""
+    return html.extract(table(spark, sf_dir, "pages"), structure=False)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.edited_counts(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_quality, op2_decontamination, op3_substring_dedup, op4_line_dedup, op4_line_classes, op5_sorted_tables, op6_simhash, op7_html, op8_packing, op9_exact_dedup, op10_token_counts)
+OPERATORS = (op1_quality, op2_decontamination, op3_substring_dedup, op4_line_dedup, op4_line_classes, op5_sorted_tables, op6_simhash, op7_html, op7_repetition, op8_packing, op9_exact_dedup, op10_token_counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

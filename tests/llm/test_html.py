@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from braid.llm import html
+from braid.llm import html, registry
 
 
 @pytest.mark.parametrize(
@@ -22,6 +22,11 @@ from braid.llm import html
         ("<!-- no --><article><p>one</p><form><input value=x><label>no</label></form><p>two <!-- no -->end</article>", "one\ntwo end"),
         ("<header>no</header><main><p>a</p><div class='loading'>b</div></main>", "a\nb"),
         ("<p>unclosed <b>bold<p>next &am &quot", "unclosed bold\nnext &am \""),
+        ("<article><p>a</p><div class='related-work'><p>b</p></div><div class='share-price-analysis'>c</div><div id='no-ads'>d</div></article>", "a\nb\nc\nd"),
+        ("<div class='content with-sidebar'><p>a</p><div class='left sidebar'>no</div></div>", "a"),
+        ("<main><h1>T</h1><article>the article itself</article><article>comment</article></main>", "T\nthe article itself"),
+        ("<article><p>the article itself</p><article>comment</article></article>", "the article itself"),
+        ("<textarea><article>fake</article></textarea><p>real", "real"),
     ],
 )
 def test_blocks(page, text):
@@ -38,27 +43,33 @@ def test_pages_of_the_table(spark, sf_dir):
         assert found[r["page_id"]]["text"] == expected and found[r["page_id"]]["n_chars"] == len(expected)
 
 
-def brute(pages, run):
-    """Loose blocks without the tokens that any stretch of ``run`` shares with another page of the host."""
+def brute(pages, run, structure=True):
+    """Blocks without the tokens that any stretch of ``run`` shares with another page of the host, or whole blocks in articles."""
     host = lambda u: re.sub(r"https?://([^/]*).*", r"\1", u or "")
-    stretches = {}
-    for i, url, page in pages:
-        words = " ".join(html.blocks_of(page)[1]).split()
-        for k in range(len(words) - run + 1):
-            stretches.setdefault((host(url), tuple(words[k : k + run])), set()).add(i)
+    parsed = {i: html.blocks_of(page, structure) for i, _, page in pages}
+    urls = {i: host(url) for i, url, _ in pages}
+    words = {i: " ".join(b).split() for i, (_, b) in parsed.items()}
+
+    def sharing(i, has):
+        return {tuple(words[j]) for j in parsed if urls[j] == urls[i] and parsed[j][0] == parsed[i][0] and has(j)}
+
     out = {}
-    for i, url, page in pages:
-        blocks = html.blocks_of(page)[1]
-        words = " ".join(blocks).split()
-        gone = set()
-        for k in range(len(words) - run + 1):
-            if len(stretches[host(url), tuple(words[k : k + run])] - {None}) > 1:
-                gone |= set(range(k, k + run))
+    for i, (marked, blocks) in parsed.items():
+        if marked:
+            streams = {tuple(words[j]) for j in parsed if urls[j] == urls[i]}
+            n = [len(sharing(i, lambda j: b in parsed[j][1])) for b in blocks]
+            out[i] = "\n".join(b for b, k in zip(blocks, n) if k < html.MOST or 2 * k < len(streams))
+            continue
+        w = words[i]
+        stretches = [tuple(w[k : k + run]) for k in range(len(w) - run + 1)]
+        n = [len(sharing(i, lambda j: any(tuple(words[j][k : k + run]) == s for k in range(len(words[j]) - run + 1)))) for s in stretches]
+        gone, many = ({k + x for k, c in enumerate(n) if c >= least for x in range(run)} for least in (2, html.MOST))
+        if 2 * len(gone) > len(w):
+            gone = many if len(many) < len(w) else set()
         at, kept = 0, []
         for b in blocks:
-            n = len(b.split())
-            kept.append(" ".join(w for j, w in enumerate(b.split()) if at + j not in gone))
-            at += n
+            kept.append(" ".join(x for j, x in enumerate(b.split()) if at + j not in gone))
+            at += len(b.split())
         out[i] = "\n".join(k for k in kept if k)
     return out
 
@@ -67,9 +78,23 @@ def test_repeated_substrings_go(spark):
     top, end = "This site of ours uses many small cookies to serve you well", "All rights are reserved by the owners of this very page since 1999"
     pages = [(i, f"http://h{i % 2}.example/{i}", f"<div>{top}</div><p>Own text number {i} {'abcdefgh'[i]} stays here whole</p><p>tail {i} {end}</p>") for i in range(6)]
     pages += [(20, "http://h0.example/x", ""), (21, None, f"<p>{top}</p>")]
+    mirrored = "<p>A whole article that stands under two addresses of one host and is no boilerplate</p>"
+    pages += [(30, "http://h2.example/a", mirrored), (31, "http://h2.example/b", mirrored), (32, "http://h2.example/c", mirrored + "<p>and a tail</p>"), (33, "http://h2.example/d", "<p>other</p>")]
+    notice = "<p>Please share this article with all of your friends</p>"
+    pages += [(40 + i, "http://h3.example/%d" % i, f"<article><p>Text {i} of its own</p>{notice}<p>A quote that two of them share word by word {i // 2}</p></article>") for i in range(4)]
     rows = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
     assert rows == brute(pages, html.RUN)
     assert rows[3] == "3 d stays here whole\ntail 3" and rows[21] == top
+    assert rows[30] == rows[31] != "" and rows[32].startswith(rows[30])
+    assert rows[41] == "Text 1 of its own\nA quote that two of them share word by word 0"
+
+
+def test_repetition_alone_on_the_table(spark, sf_dir):
+    """On the table's pages, all of which mark an article, the dealt method does the work once structure is left out."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    given = [(r["page_id"], r["url"], r["html"]) for r in pages.collect()]
+    rows = {r["page_id"]: r["text"] for r in registry.queries()["op7_repetition"](spark, sf_dir).collect()}
+    assert rows == brute(given, html.RUN, False)
 
 
 def test_odd_rows(spark):
