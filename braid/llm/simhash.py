@@ -2,14 +2,14 @@
 
 Fingerprints are computed in Arrow batches. Equal fingerprints collapse to one node before
 anything is compared. Two fingerprints within radius r agree on at least one of r+1 blocks
-of bits, so nodes are dealt to shards by (block, bits of the block), and each shard is a
-BK-tree: children keyed by their integer Hamming distance to the parent, and a query follows
-only edges within the radius. A shard that holds more than ``SHARD`` fingerprints is dealt
-again by blocks of its remaining bits, which stays exact and bounds every tree.
-
-Trees of all fingerprints are not broadcast: they would grow with the corpus. Routing by
-block sends each query only to the trees that can hold an answer. A tree reports a star
-(member, root) for each of its linked sets rather than all pairs.
+of bits. Nodes are dealt to shards by the first bits of each block, as many as make a shard of about ``TREE``
+fingerprints, and each shard is a BK-tree: children keyed by their integer Hamming distance to the parent,
+and a query follows only edges within the radius. So the trees do the search, and routing only picks the trees that can hold an
+answer. A shard of more than ``SHARD`` fingerprints is dealt again by blocks of its remaining
+bits, which stays exact and bounds every tree.
+
+Trees of all fingerprints are not broadcast: they would grow with the corpus, and every query would
+visit all of them. A tree reports a star (member, root) for each of its linked sets rather than all pairs.
 """
 
 from __future__ import annotations
@@ -17,17 +17,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, settle
+from .common import in_arrow, per_text, settle, slices
 from .components import connected_components
 
 RADIUS, SHINGLE, SEED, BITS = 2, 3, 42, 64
-#: The most fingerprints in one tree; larger shards are dealt again.
-SHARD = 1024
+#: Fingerprints that the trees are planned for, and the most in one tree; larger shards are dealt again.
+TREE, SHARD = 512, 4096
 #: Words hashed at a time in a long text.
 CHUNK = 1 << 16
 
@@ -115,20 +115,25 @@ def linked_sets(values: list[int], radius: int) -> list[tuple[int, int]]:
     return [(v, r) for v in values if (r := find(v)) != v]
 
 
-def _split(mask: int, radius: int) -> list[int]:
-    """The bits that ``mask`` leaves free, cut into radius + 1 blocks, each joined to ``mask``."""
+def _split(mask: int, radius: int, width: int = BITS) -> list[int]:
+    """The bits that ``mask`` leaves free, cut into radius + 1 blocks; the first ``width`` bits of each joined to ``mask``."""
     free = [i for i in range(BITS) if not mask >> i & 1]
     cuts = np.array_split(free, radius + 1)
-    return [mask | sum(1 << int(i) for i in cut) for cut in cuts if len(cut)]
+    return [mask | sum(1 << int(i) for i in cut[:width]) for cut in cuts if len(cut)]
+
+
+def _width(nodes: int, tree: int) -> int:
+    """Bits that deal ``nodes`` spread fingerprints into shards of about ``tree``."""
+    return max(1, (nodes // max(1, tree)).bit_length())
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _dealt(nodes: DataFrame, masks: list[int], radius: int) -> DataFrame:
+def _dealt(nodes: DataFrame, masks: list[int], radius: int, width: int) -> DataFrame:
     """fp with each block mask below its present mask, and its bits there."""
-    below = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(s)) for s in _split(m, radius)]))])
+    below = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(s)) for s in _split(m, radius, width)]))])
     rows = nodes.select("fp", F.explode(below[F.col("mask")]).alias("mask"))
     if masks != [0]:  # the same bits can be fixed in another order
         rows = rows.distinct()
@@ -138,21 +143,21 @@ def _dealt(nodes: DataFrame, masks: list[int], radius: int) -> DataFrame:
 def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """Stars ``a, b`` whose connected sets are those of all links between distinct ``fp``."""
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            stars = [s for fps in batch["fps"] for s in linked_sets([int(x) & (1 << 64) - 1 for x in np.sort(fps)], radius)]
-            yield pd.DataFrame(np.array(stars, np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
+    def search(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        stars = [s for fps in slices(batch.column(0)) for s in linked_sets(np.sort(fps).view(np.uint64).tolist(), radius)]
+        a, b = np.array(stars, np.uint64).reshape(-1, 2).view(np.int64).T
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    masks, found = [0], None
+    masks, found, width = [0], None, _width(nodes.count(), min(TREE, shard))
     nodes = nodes.select("fp", F.lit(0).cast("bigint").alias("mask"))
     while True:
-        keys = _dealt(nodes, masks, radius)
-        masks = sorted({s for m in masks for s in _split(m, radius)})
+        keys = _dealt(nodes, masks, radius, width)
+        masks, width = sorted({s for m in masks for s in _split(m, radius, width)}), BITS
         sizes = keys.groupBy("mask", "bits").agg(F.count("*").alias("n")).where("n > 1")
         sizes = settle(sizes, "shard-sizes")  # as a table, so that AQE can split a hot shard's join
         keys = settle(keys.join(sizes, ["mask", "bits"]), "shards")
         cold = keys.where(F.col("n") <= shard).groupBy("mask", "bits").agg(F.collect_list("fp").alias("fps")).select("fps")
-        stars = cold.mapInPandas(search, "a bigint, b bigint")
+        stars = in_arrow(cold, search, "a bigint, b bigint")
         found = stars if found is None else found.union(stars)
         nodes = keys.where(F.col("n") > shard).select("fp", "mask")
         if all(len(_split(m, radius)) <= radius for m in masks) or nodes.isEmpty():
@@ -171,7 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(links(nodes, radius))
     joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))
     linked = joined.where("linked")
-    names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = settle(linked.groupBy("root").agg(F.min("least").alias("component_id")), "component-names")
     named = linked.join(names, "root").select("fp", "component_id").union(joined.where("NOT linked AND n > 1").select("fp", "least"))
     named = settle(named, "components")  # as a table, so that AQE can split a hot fingerprint's join
     return rows.join(named, "fp", "left").select(
