@@ -18,22 +18,22 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text
+from .common import per_text, text_hash
 
 #: An item of m words may differ in m // BUDGET words.
 BUDGET = 5
-#: Items with fewer words match nothing: any text holds them.
-LEAST_WORDS = 5
 #: Characters of items in one block, which every task holds at once.
 BLOCK_CHARS = 4_000_000
 
-_WORD = re.compile(r"\w+")
+#: Scripts without spaces between words: each character counts as a word.
+_SOLID = "\u0e00-\u0eff\u2e80-\u9fff\uf900-\ufaff"
+_WORD = re.compile(rf"(?=\w)[{_SOLID}]|[^\W{_SOLID}]+")
 
-SCHEMA = "doc_id bigint, item_id bigint, distance int, first_word bigint, last_word bigint"
+SCHEMA = "doc_id bigint, item_id bigint, distance int, first_word bigint, last_word bigint, text_hash bigint"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case runs of word characters."""
+    """Lower-case runs of word characters, and single characters of scripts that put no space between words."""
     return _WORD.findall((text or "").lower())
 
 
@@ -72,7 +72,7 @@ def myers_search(pattern: list[str], text: list[str]) -> tuple[int, int]:
 class Matcher:
     """All items of one block."""
 
-    def __init__(self, items: list[tuple[int, str | None]], budget: int = BUDGET, least: int = LEAST_WORDS):
+    def __init__(self, items: list[tuple[int, str | None]], budget: int = BUDGET):
         self.items: dict[int, list[str]] = {}
         starts: dict[str, list[tuple[int, int]]] = {}
         by_words: dict[tuple[str, ...], int] = {}
@@ -80,7 +80,7 @@ class Matcher:
         self.budget = {}
         for item_id, text in items:
             words = words_of(text)
-            if len(words) < least or item_id is None:
+            if not words or item_id is None:
                 continue
             key = by_words.setdefault(tuple(words), len(by_words))
             self.ids.setdefault(key, set()).add(item_id)
@@ -127,11 +127,11 @@ class Matcher:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, distance, first_word, last_word: each item that a document holds.
+    """doc_id, item_id, distance, first_word, last_word, text_hash: each item that a document holds.
 
     One row for each pair of a row of ``docs`` and an item, at its best occurrence; words
-    count from 0. Items of fewer than five words, null items and items with a null id match
-    nothing; equal items are reported each under its own id, repeated rows of one item once.
+    count from 0. Items of fewer than five words match where they occur exactly. Items without words, null
+    items and items with a null id match nothing; equal items are reported each under its own id, repeated rows of one item once.
     Null and empty documents hold nothing. Repeated documents are reported each; an empty
     table gives an empty result. Other columns are ignored.
     """
@@ -141,7 +141,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
         def make(shared=shared) -> Callable[[list, list], Iterator[tuple]]:
             matcher = Matcher(shared.value)
-            return lambda ids, texts: ((d, *m) for d, t in zip(ids, texts) for m in matcher.matches(t))
+            return lambda ids, texts: ((d, *m, text_hash(t)) for d, t in zip(ids, texts) for m in matcher.matches(t))
 
         part = per_text(docs, id_col, text_col, make, SCHEMA)
         found = part if found is None else found.union(part)

@@ -113,7 +113,8 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     shared = spark.sparkContext.broadcast(by_length)
     before = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    ranked = rows.join(offsets, ["length", "task"]).select(
+    # as many offsets as tasks times lengths: they grow with the input, so they are never broadcast
+    ranked = rows.join(offsets.hint("merge"), ["length", "task"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("earlier") + F.col("rank_in_task")).alias("rank")
     )
 

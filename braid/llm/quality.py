@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import library_on_path, per_text, settle
+from .common import library_on_path, per_text, settle, text_hash
 
 FEATURES = ("words", "word_len", "symbols", "upper", "digits", "ends", "caps", "variety", "top_word", "line_repeats", "gram_repeats", "packed", "odd_words", "marks")
 #: Share of the pooled diagonal in each class covariance.
@@ -82,12 +82,12 @@ def statistics(text: str | None) -> list[float]:
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the statistics ``x`` of each row."""
+    """doc_id, text_hash and the statistics ``x`` of each row."""
 
     def of(ids: list, texts: list) -> Iterator[tuple]:
-        return zip(ids, map(statistics, texts))
+        return zip(ids, map(text_hash, texts), map(statistics, texts))
 
-    return per_text(docs, id_col, text_col, lambda: of, "doc_id bigint, x array<double>")
+    return per_text(docs, id_col, text_col, lambda: of, "doc_id bigint, text_hash bigint, x array<double>")
 
 
 @dataclass
@@ -128,6 +128,7 @@ def fit(features: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE, te
     """
     d = len(FEATURES)
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = settle(known, "known-labels")  # as a table, so that AQE can split a hot id's join
     rows = features.join(known, "doc_id").select("quality", "x")
     parts = [F.col("x")[i] for i in range(d)]
     sums = [F.count("*").alias("n"), *(F.sum(p).alias(f"s{i}") for i, p in enumerate(parts))]
@@ -148,7 +149,7 @@ def held_out_column(id_col: str = "doc_id", folds: int = HOLD_OUT):
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``.
+    """doc_id, held_out, score, predicted, text_hash for every row of ``docs``.
 
     Null and empty texts have all statistics zero and get the score that the model gives
     those. Held-out rows are never learned from; a null id counts as not held out and has
@@ -162,8 +163,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         for batch in batches:
             x = batch.column("x").flatten().to_numpy().reshape(-1, len(FEATURES))
             s = model.score(x)
-            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
+            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), batch.column("text_hash")]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "text_hash"])
 
     with library_on_path(docs.sparkSession):
-        return rows.select("doc_id", "held_out", "x").mapInArrow(scored, "doc_id bigint, held_out boolean, score double, predicted int")
+        return rows.select("doc_id", "held_out", "x", "text_hash").mapInArrow(scored, "doc_id bigint, held_out boolean, score double, predicted int, text_hash bigint")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, per_text, settle, slices
+from .common import in_arrow, per_text, settle, slices, text_hash
 from .components import connected_components
 
 RADIUS, SHINGLE, SEED, BITS = 2, 3, 42, 64
@@ -59,12 +59,12 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) for each row."""
+    """doc_id, fp (the 64 bits as a signed long), text_hash for each row."""
 
     def of(ids: list, texts: list) -> Iterator[tuple]:
-        return zip(ids, (_signed(fingerprint(t)) for t in texts))
+        return zip(ids, (_signed(fingerprint(t)) for t in texts), map(text_hash, texts))
 
-    return per_text(docs, id_col, text_col, lambda: of, "doc_id bigint, fp bigint")
+    return per_text(docs, id_col, text_col, lambda: of, "doc_id bigint, fp bigint, text_hash bigint")
 
 
 class BKTree:
@@ -165,7 +165,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint, component_id for every row of ``docs``.
+    """doc_id, fingerprint, component_id, text_hash for every row of ``docs``.
 
     Null and empty texts have the fingerprint zero, which is linked like any other. A row
     with a null id belongs to its component but never names it unless all ids there are
@@ -180,5 +180,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = linked.join(names, "root").select("fp", "component_id").union(joined.where("NOT linked AND n > 1").select("fp", "least"))
     named = settle(named, "components")  # as a table, so that AQE can split a hot fingerprint's join
     return rows.join(named, "fp", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash"
     )

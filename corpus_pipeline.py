@@ -1,54 +1,55 @@
 """Corpus pipeline: stages applied in order, each on all rows that its predecessor kept.
 
 Each stage is written as Parquet under ``spark.checkpoint.dir`` and read again as the next
-one's documents. All but the last return the columns of ``documents``.
+one's documents. All but the last return the columns of ``documents``. A decision names a row by its id, which may be null, and
+its text, so rows that share an id are judged one by one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braid.llm import decontam, exact, packing, quality, simhash
-from braid.llm.common import one_space, settle, table
+from braid.llm.common import one_space, settle, table, text_hash_of
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is not among ``ids``; a row without an id stays."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def _without(docs: DataFrame, gone: DataFrame, mark: str = "text_hash", own: Column | None = None) -> DataFrame:
+    """The rows of ``docs`` whose id and text are not among ``gone(doc_id, mark)``; ``own`` makes the mark of a text."""
+    gone = settle(gone.select("doc_id", mark).distinct(), "gone")  # as a table, so that AQE can split a hot key's join
+    same = docs["doc_id"].cast("bigint").eqNullSafe(gone["doc_id"]) & ((text_hash_of(docs["text"]) if own is None else own) == gone[mark])
+    return docs.join(gone, same, "left_anti").select(docs.columns)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject. Rows without an id stay."""
+    """Documents that the classifier does not reject."""
     return _without(docs, quality.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 0"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest id; of repeated rows of it, one.
-
-    Rows without an id stay: no decision can name them.
-    """
+    """Of equal texts, the document with the smallest id, null last; of repeated rows of it, one."""
+    sha = F.sha2(one_space(docs["text"]), 256)
     found = settle(exact.dedup_exact(docs), "exact")
-    left = _without(docs, found.where("doc_id <> keep_id"))
-    again = found.where("doc_id = keep_id AND NOT kept").select("doc_id").distinct()
+    left = _without(docs, found.where("NOT doc_id <=> keep_id"), "text_sha256", sha)
+    again = found.where("doc_id <=> keep_id AND NOT kept").select("doc_id", "text_sha256").distinct()
     if again.isEmpty():
         return left
-    same = left.join(again, "doc_id", "left_semi").select(docs.columns).withColumn("__same", one_space(F.col("text")))
-    return _without(left, again).unionByName(same.dropDuplicates(["doc_id", "__same"]).drop("__same"))
+    whole = _without(left, again, "text_sha256", F.sha2(one_space(left["text"]), 256))
+    again = again.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    same = left.withColumn("__text", F.sha2(one_space(F.col("text")), 256))
+    same = same.join(again, same["doc_id"].cast("bigint").eqNullSafe(again["__id"]) & (same["__text"] == again["__sha"]), "left_semi")
+    return whole.unionByName(same.dropDuplicates(["doc_id", "__text"]).drop("__text"))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document with the smallest id.
-
-    Rows that share an id stay or go together; rows without an id stay.
-    """
-    return _without(docs, simhash.near_duplicates(docs).where("doc_id <> component_id"))
+    """Of each component of near copies, the document with the smallest id; rows without an id go if another row has one."""
+    return _without(docs, simhash.near_duplicates(docs).where("NOT doc_id <=> component_id"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item. Rows without an id stay."""
+    """Documents that hold no benchmark item."""
     return _without(docs, decontam.leaks(docs, table(spark, sf_dir, "benchmark")))
 
 

@@ -50,14 +50,20 @@ def test_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (None, "the quick brown fox jumps"), (4, "The QUICK, brown fox -- jumps over!"), (4, "The QUICK, brown fox -- jumps over!"), (5, "the quick brown fox jumps over")], "item_id bigint, text string")
     found = decontam.leaks(odd_docs, bench).collect()
     holds = [r["doc_id"] for r in odd_docs.collect() if "quick" in (r["text"] or "")]
-    assert sorted(((r["doc_id"], r["item_id"], r["distance"], r["first_word"], r["last_word"]) for r in found), key=repr) == sorted(((d, i, 0, 0, 5) for d in holds for i in (4, 5)), key=repr)
+    assert sorted(((r["doc_id"], r["item_id"], r["distance"], r["first_word"], r["last_word"]) for r in found), key=repr) == sorted([(7, 3, 0, 0, 0), *((d, i, 0, 0, 5) for d in holds for i in (4, 5))], key=repr)
     assert decontam.leaks(no_docs, bench).isEmpty() and decontam.leaks(odd_docs, bench.limit(0)).isEmpty()
 
 
 def test_blocks_change_nothing(spark, documents, sf_dir, monkeypatch):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    whole = sorted(map(tuple, decontam.leaks(documents, bench).collect()))
+    whole = sorted(map(tuple, decontam.leaks(documents, bench).drop("text_hash").collect()))
     blocks = list(decontam.item_blocks(bench, 500))
     assert len(blocks) > 3 and sum(map(len, blocks)) == bench.count()
     split = sorted(m for b in blocks for r in documents.collect() for m in ((r["doc_id"], *x) for x in decontam.Matcher(b).matches(r["text"])))
     assert split == whole
+
+
+def test_short_items_and_scripts_without_spaces():
+    matcher = decontam.Matcher([(1, "two words"), (2, "\u4eca\u65e5\u306f\u5929\u6c17\u304c\u3044\u3044")])
+    assert matcher.matches("just Two words here") == [(1, 0, 1, 2)] and matcher.matches("two other words") == []
+    assert matcher.matches("x \u4eca\u65e5\u306f\u96e8\u6c17\u304c\u3044\u3044\u3002") == [(2, 1, 1, 8)]

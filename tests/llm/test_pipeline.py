@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from braid.llm import decontam, exact, quality, simhash
+from braid.llm import common, decontam, exact, quality, simhash
 
 
 def test_stages_on_documents(spark, sf_dir, documents):
@@ -38,3 +40,22 @@ def test_odd_rows(spark, sf_dir, odd_docs, no_docs):
     assert deduped.where("doc_id = 6").count() == 0 and deduped.where("doc_id = 1").count() == 1
     twice = odd_docs.where("doc_id = 6")
     assert corpus_pipeline.exact_dedup(spark, twice, sf_dir).count() == 1
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    near = " ".join(f"word{i}" for i in range(400))
+    rows = [(3, "x"), (5, "x"), (5, "unique"), (None, "x"), (None, "own text"), (None, item), (7, item), (7, "clean"), (8, near), (9, near + " end"), (9, "far"), (None, near + " fin"), (8, near)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    shown = lambda f: sorted(map(tuple, f.collect()), key=repr)
+    deduped = corpus_pipeline.exact_dedup(spark, docs, sf_dir)
+    assert shown(deduped) == sorted([r for r in rows if r not in [(5, "x"), (None, "x"), (None, item), (8, near)]] + [(8, near)], key=repr)
+    kept = corpus_pipeline.simhash_dedup(spark, deduped, sf_dir)
+    assert shown(kept) == sorted([(3, "x"), (5, "unique"), (None, "own text"), (7, item), (7, "clean"), (8, near), (9, "far")], key=repr)
+    assert (7, "clean") in shown(corpus_pipeline.decontaminate(spark, kept, sf_dir)) and (7, item) not in shown(corpus_pipeline.decontaminate(spark, kept, sf_dir))
+
+
+def test_text_hashes_agree(spark):
+    texts = ["", None, "a", "é x" * 50]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r[0] for r in frame.select(common.text_hash_of(F.col("text"))).collect()] == [common.text_hash(t) for t in texts]
