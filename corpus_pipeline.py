@@ -13,14 +13,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braid.llm import decontam, exact, packing, quality, simhash
-from braid.llm.common import one_space, settle, table, text_hash_of
+from braid.llm.common import hit_bits, one_space, settle, table, text_hash_of, with_hits, without_hits
 
 
 def _without(docs: DataFrame, gone: DataFrame, mark: str = "text_hash", own: Column | None = None) -> DataFrame:
-    """The rows of ``docs`` whose id and text are not among ``gone(doc_id, mark)``; ``own`` makes the mark of a text."""
-    gone = settle(gone.select("doc_id", mark).distinct(), "gone")  # as a table, so that AQE can split a hot key's join
-    same = docs["doc_id"].cast("bigint").eqNullSafe(gone["doc_id"]) & ((text_hash_of(docs["text"]) if own is None else own) == gone[mark])
-    return docs.join(gone, same, "left_anti").select(docs.columns)
+    """The rows of ``docs`` whose id and text are not among ``gone(doc_id, mark)``; ``own`` makes the mark of a text.
+
+    A bitmap of fixed size passes most rows on as they are; the others meet ``gone`` in a shuffle, however small it is.
+    """
+    gone = settle(gone.select(F.col("doc_id").alias("__doc"), F.col(mark).alias("__mark")).distinct(), "gone")  # as a table, so that AQE can split a hot key's join
+    names = docs.columns
+    docs = docs.withColumn("__id", F.col("doc_id").cast("bigint"))
+    bitmap = settle(hit_bits(gone, "__doc"), "gone-bits")
+    clear, met = (f(docs, "__id", bitmap).select("__id", *names) for f in (without_hits, with_hits))
+    same = met["__id"].eqNullSafe(gone["__doc"]) & ((text_hash_of(met["text"]) if own is None else own) == gone["__mark"])
+    met = met.join(gone.withColumn("__gone", F.lit(True)).hint("merge"), same, "left").where("__gone IS NULL")  # an anti-join would be pushed below the bitmap
+    return clear.unionByName(met.select(clear.columns)).drop("__id")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +38,13 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest id, null last; of repeated rows of it, one."""
-    sha = F.sha2(one_space(docs["text"]), 256)
+    sha = F.sha2(one_space(F.col("text")), 256)
     found = settle(exact.dedup_exact(docs), "exact")
     left = _without(docs, found.where("NOT doc_id <=> keep_id"), "text_sha256", sha)
     again = found.where("doc_id <=> keep_id AND NOT kept").select("doc_id", "text_sha256").distinct()
     if again.isEmpty():
         return left
-    whole = _without(left, again, "text_sha256", F.sha2(one_space(left["text"]), 256))
+    whole = _without(left, again, "text_sha256", sha)
     again = again.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     same = left.withColumn("__text", F.sha2(one_space(F.col("text")), 256))
     same = same.join(again, same["doc_id"].cast("bigint").eqNullSafe(again["__id"]) & (same["__text"] == again["__sha"]), "left_semi")

@@ -59,3 +59,13 @@ def test_text_hashes_agree(spark):
     texts = ["", None, "a", "é x" * 50]
     frame = spark.createDataFrame([(t,) for t in texts], "text string")
     assert [r[0] for r in frame.select(common.text_hash_of(F.col("text"))).collect()] == [common.text_hash(t) for t in texts]
+
+
+def test_small_decisions_are_shuffled_as_large_ones(spark):
+    """The plan is the same at every size: a bitmap passes rows on, and the rest meet the decisions in a shuffle."""
+    docs = spark.createDataFrame([(i if i % 7 else None, f"text {i}") for i in range(50)], "doc_id bigint, text string")
+    gone = docs.where("doc_id IN (3, 5) OR text IN ('text 7', 'text 49')").select("doc_id", common.text_hash_of(F.col("text")).alias("text_hash"))
+    left = corpus_pipeline._without(docs, gone)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin [coalesce" not in plan
+    assert sorted(r["text"] for r in left.collect()) == sorted(f"text {i}" for i in range(50) if i not in (3, 5, 7, 49))
